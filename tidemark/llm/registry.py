@@ -1,8 +1,8 @@
 """The queries of the training-data operators and of the pipeline, with SQL where SQL can express them."""
 
-from . import quality_rules
+from . import bpe, mixing, quality_rules, simhash
 
-MODULES = (quality_rules,)
+MODULES = (quality_rules, simhash, mixing, bpe)
 
 
 def queries() -> dict:
