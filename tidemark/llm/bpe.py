@@ -22,6 +22,7 @@ import struct
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -172,24 +173,37 @@ def decode(ids: Column, model: _Model) -> Column:
 
 
 DIGEST = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+WITH_IDS = StructType([StructField("ids", ArrayType(IntegerType())), *DIGEST.fields])
 
 
-def round_trip(text: Column, model: _Model) -> Column:
-    """What encoding and then decoding gives, as digests: ids of whole texts need not leave the worker for that."""
+def round_trip(text: Column, model: _Model, with_ids: bool = False) -> Column:
+    """What encoding and then decoding gives, as digests, and if asked for the ids too."""
+    kind = WITH_IDS if with_ids else DIGEST
 
-    @F.arrow_udf(DIGEST)
-    def digests(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf(kind)
+    def trip(texts: pa.Array) -> pa.Array:
         codec = _codec(model)
         shown = list(map(str, range(len(codec.tokens))))
-        n, of_ids, of_bytes = [], [], []
+        every, n, of_ids, of_bytes = [], [], [], []
         for t in texts.to_pylist():
             ids = codec.encode(t or "")
             n.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], DIGEST.names)
+            if with_ids:
+                every.append(np.array(ids, np.int32))
+        out = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        return pa.StructArray.from_arrays([*([pa.array(every, pa.list_(pa.int32()))] if with_ids else []), *out], kind.names)
 
-    return digests(text)
+    return trip(text)
+
+
+def encode_documents(docs: DataFrame, model: _Model | None = None) -> DataFrame:
+    """doc_id, source, ids, n_tokens and the digests of the ids and of what they decode to, for each row."""
+    spark = docs.sparkSession
+    arrow_rows(spark, 250)
+    trip = round_trip(F.coalesce("text", F.lit("")), model or production_model(spark), with_ids=True)
+    return docs.select("doc_id", "source", trip.alias("__trip")).select("doc_id", "source", "__trip.*")
 
 
 def digest(docs: DataFrame, model: _Model | None = None) -> DataFrame:

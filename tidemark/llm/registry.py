@@ -1,12 +1,14 @@
 """The queries of the training-data operators and of the pipeline, with SQL where SQL can express them."""
 
-from . import bpe, mixing, quality_rules, simhash
+import corpus_pipeline
 
-MODULES = (quality_rules, simhash, mixing, bpe)
+from . import bpe, mixing, quality_cnn, quality_rules, simhash, toxicity, warc
+
+MODULES = (toxicity, quality_cnn, bpe, warc, quality_rules, simhash, mixing)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in (*MODULES, corpus_pipeline) for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
