@@ -2,9 +2,9 @@
 
 import corpus_pipeline
 
-from . import bpe, mixing, quality_cnn, quality_rules, simhash, toxicity, warc
+from . import bpe, mixing, quality_cnn, quality_rules, sharding, simhash, toxicity, warc
 
-MODULES = (toxicity, quality_cnn, bpe, warc, quality_rules, simhash, mixing)
+MODULES = (toxicity, quality_cnn, bpe, sharding, warc, quality_rules, simhash, mixing)
 
 
 def queries() -> dict:
