@@ -2,9 +2,9 @@
 
 import corpus_pipeline
 
-from . import bpe, katz, mixing, quality_cnn, quality_rules, sharding, simhash, toxicity, warc
+from . import bpe, flatgraph, katz, mixing, quality_cnn, quality_rules, sharding, simhash, toxicity, warc
 
-MODULES = (toxicity, katz, quality_cnn, bpe, sharding, warc, quality_rules, simhash, mixing)
+MODULES = (flatgraph, toxicity, katz, quality_cnn, bpe, sharding, warc, quality_rules, simhash, mixing)
 
 
 def queries() -> dict:
