@@ -1,5 +1,6 @@
 """The queries of the library, by name."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = None
+from . import execution, routing  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES
+
+FLAGSHIP = routing.classify_geo
