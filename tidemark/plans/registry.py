@@ -1,6 +1,6 @@
 """The queries of the library, by name."""
 
-from . import execution, logs, measures, routing  # noqa: F401
+from . import connectors, execution, logs, measures, routing  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 FLAGSHIP = routing.classify_geo
