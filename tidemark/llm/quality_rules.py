@@ -47,9 +47,6 @@ RULES = (
     Rule("repeated_lines", "dup_line_ratio", high=0.3),
 )
 
-NOTHING = F.array().cast("array<string>")
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -134,7 +131,7 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         *compile_rules(rules),
     )
-    failed = F.array_compact(F.array(*(F.when(~F.col(f"pass_{r.name}"), F.lit(r.name)) for r in rules))) if rules else NOTHING
+    failed = F.array_compact(F.array(*(F.when(~F.col(f"pass_{r.name}"), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
     return judged.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
