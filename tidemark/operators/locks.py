@@ -40,13 +40,16 @@ def waits(requests: DataFrame) -> DataFrame:
     return holders(requests).groupBy("txn_id").agg(F.count(F.lit(1)).alias("n_locks"), F.count_if(~F.col("granted")).alias("n_waiting")).withColumn("ready", F.col("n_waiting") == 0)
 
 
-def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, most: int = 1000, nodes: DataFrame | None = None) -> DataFrame:
     """node -> level: the longest way to it from a node that waits for none; nodes of a level can run together.
 
+    nodes: all there are; without it those that have an edge.
+
     Each round raises the waiters of the nodes that the last one raised, so it has as many rounds as the longest chain;
     results of a round are cut off into the checkpoint folder.
     """
-    nodes = edges.select(F.col("blocker").alias("node")).unionByName(edges.select(F.col("waiter").alias("node"))).distinct()
+    if nodes is None:
+        nodes = edges.select(F.col("blocker").alias("node")).unionByName(edges.select(F.col("waiter").alias("node"))).distinct()
     level = nodes.withColumn("level", F.lit(0).cast("long")).checkpoint()
     front = level
     for _ in range(most):

@@ -64,10 +64,11 @@ def zipf_weights(n: int, exponent: float, spark: SparkSession) -> DataFrame:
     return w.select("rank", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("weight"))
 
 
-def zipf_sample(weights: DataFrame, draws: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """k different ranks for each draw, as a sequential draw without replacement gives them: the least -ln(u) / weight."""
+def zipf_sample(draws: DataFrame, n: int, exponent: float, k: int, seed: int = 1) -> DataFrame:
+    """k different of n ranks for each draw, as a sequential draw without replacement gives them: the least -ln(u) / weight."""
     u = (draw(F.col("draw") * 1009 + F.col("rank"), seed, 1 << 24) + 0.5) / (1 << 24)
-    keyed = draws.join(F.broadcast(weights)).withColumn("race", -F.log(u) / F.col("weight"))  # weights: the regions or warehouses, a few
+    ranks = draws.select("draw", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))  # of regions or warehouses, a few
+    keyed = ranks.withColumn("race", -F.log(u) * F.pow(F.col("rank").cast("double"), F.lit(exponent)))
     return keyed.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy("race"))).where(F.col("place") <= k).select("draw", "place", "rank")
 
 

@@ -44,14 +44,14 @@ def key_lists(spark, d):
     return k.withColumn("r", F.row_number().over(Window.partitionBy("part", "home").orderBy("key"))).where("r <= 10").drop("r")
 
 
-@query("""SELECT 'o' || o_orderkey AS txn, 'k' || o_custkey AS key, true AS is_write, 'SET' AS command FROM orders WHERE o_orderkey < 20
-UNION ALL SELECT 'o' || o_orderkey, 'r' || o_custkey, false, 'SET' FROM orders WHERE o_orderkey < 20""")
+@query("""SELECT 'o' || o_orderkey AS txn, 'k' || o_custkey AS key, true AS is_write, 'SET' AS command FROM orders
+UNION ALL SELECT 'o' || o_orderkey, 'r' || o_custkey, false, 'SET' FROM orders""")
 def json_txn_source(spark, d):
-    """Transactions as JSON files and back: the files are as many as a client sends in a moment."""
+    """Transactions as JSON lines and back."""
     folder = shared.shared_folder(spark, "json")
-    o = table(spark, d, "orders").where("o_orderkey < 20")
+    o = table(spark, d, "orders")
     body = o.select(F.array(F.concat(F.lit("r"), "o_custkey")).alias("read_set"), F.array(F.concat(F.lit("k"), "o_custkey")).alias("write_set"), F.array(F.array(F.lit("SET"), F.concat(F.lit("k"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"))).alias("code"))
-    body.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(folder)
+    body.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
     txns = spark.read.schema(R.TXN).json(folder).withColumn("file", F.col("code")[0][2])
     none = F.array().cast("array<string>")
     keyed = txns.select("file", F.concat(F.transform(F.coalesce("write_set", none), lambda k: F.struct(k.alias("key"), F.lit(True).alias("is_write"))), F.transform("read_set", lambda k: F.struct(k.alias("key"), F.lit(False).alias("is_write")))).alias("keys"), "code", "new_master")

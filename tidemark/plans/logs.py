@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import locks as L
 from ..operators import ordering as O
+from ..sources import shared
 from .catalog import ACCESS_ARITH, access_arith, query, table
 
 
@@ -197,18 +198,16 @@ def remaster_execute(spark, d):
     return n.select("key", F.pmod(F.col("master") + F.col("moves"), F.lit(3)).alias("master"), F.col("moves").alias("counter"))
 
 
-def _sparse_edges(spark, d):
-    """Waits of the log within stretches of 40 transactions: chains that end."""
-    e = L.wait_edges(requests(spark, d))
-    return e.where(F.floor(F.col("blocker") / 40) == F.floor(F.col("waiter") / 40))
+BATCH = 40
 
 
-@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT * FROM edge WHERE blocker // 40 = waiter // 40),
-n AS (SELECT blocker AS node FROM s UNION SELECT waiter FROM s), w AS (SELECT node, 0 AS level FROM n UNION SELECT waiter, level + 1 FROM w JOIN s ON blocker = node)
+@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT * FROM edge WHERE blocker // {BATCH} = waiter // {BATCH}),
+w AS (SELECT DISTINCT pos AS node, 0 AS level FROM req UNION SELECT waiter, level + 1 FROM w JOIN s ON blocker = node)
 SELECT node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
 def exec_level(spark, d):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return L.levels(_sparse_edges(spark, d).checkpoint())
+    """Which transactions of a batch can run together: a batch begins when the one before it is done, so that only
+    waits within a batch count."""
+    shared.shared_folder(spark, "levels")  # where the rounds' checkpoints go
+    rows = requests(spark, d)
+    edges = L.wait_edges(rows).where(F.floor(F.col("blocker") / BATCH) == F.floor(F.col("waiter") / BATCH)).checkpoint()
+    return L.levels(edges, nodes=rows.select(F.col("pos").alias("node")).distinct())

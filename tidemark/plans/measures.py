@@ -227,7 +227,7 @@ def wl_tpcc_mix(spark, d):
 
 @query()
 def zipf_sample_topk(spark, d):
-    return W.zipf_sample(W.zipf_weights(20, 0.9, spark), spark.range(2000).withColumnRenamed("id", "draw"), 3)
+    return W.zipf_sample(spark.range(2000).withColumnRenamed("id", "draw"), 20, 0.9, 3)
 
 
 @query("SELECT p_partkey % 4 AS part, (p_partkey // 4) % 3 AS home, p_partkey // 12 < 10 AS hot, count(*) AS n FROM part GROUP BY ALL")
