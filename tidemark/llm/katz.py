@@ -7,7 +7,7 @@ discount of counts up to ``K``. alpha(h) shares out exactly what the seen pairs
 all more frequent than ``K`` would leave nothing; one is added to its count, which goes to what it hasn't seen.
 
 Tables. Words are 48-bit hashes. The unigram table has a row a word. The pair table is partitioned by context into
-buckets of about ``BUCKET_TOKENS`` tokens: a row a bucket, with its contexts, their counts and backoff weights, and the
+buckets of about ``BUCKET_TOKENS`` tokens: a row a bucket, read by the task that works on it, with its contexts, their counts and backoff weights, and the
 words that followed and how often, as packed arrays. Contexts that alone would fill a bucket (the start of a text, "the")
 are spread over all buckets by their following word; there are fewer of them than buckets, and their totals are a
 broadcast.
@@ -31,6 +31,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,7 +46,7 @@ END, START = 0, 1  # ids that no word has
 ID_BYTES = 6
 #: Tokens in a bucket of pairs, about; tokens and documents in a block.
 BUCKET_TOKENS, FEWEST_BUCKETS = 2_500_000, 12
-BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 60_000
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -205,6 +207,19 @@ def _expand(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ctx, run), unpack(row["word"]), np.frombuffer(row["n"], np.uint32)
 
 
+def partition(folder: str, table: str, bucket: int) -> dict | None:
+    """A bucket's row of a table that is partitioned by bucket, None if it has none; read by the task that works on it."""
+    store, root = pafs.FileSystem.from_uri(folder)
+    found = store.get_file_info(pafs.FileSelector(f"{root}/{table}/bucket={bucket}", allow_not_found=True))
+    for f in found:
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as data:
+                rows = pq.ParquetFile(data).read().to_pylist()
+            if rows:
+                return rows[0]
+    return None
+
+
 COUNTS = PAIRS + ", of_counts array<long>"
 
 
@@ -229,22 +244,24 @@ ASKED = "part int, bucket int, word binary"
 TOLD = "part int, bucket int, word binary, n binary"
 
 
-def ask(counts: DataFrame, model: Model) -> DataFrame:
+def ask(spark, model: Model) -> DataFrame:
     """The words of each bucket, once each, for each part of the vocabulary."""
 
     def emit(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                word = np.unique(unpack(row["word"]))
-                part = (word % np.uint64(model.buckets)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                word, part = word[order], part[order]
-                edge = np.r_[_runs(part), len(part)]
-                yield pa.record_batch(
-                    [pa.array(part[edge[:-1]]), pa.array([row["bucket"]] * (len(edge) - 1), pa.int32()), [pack(word[a:b]) for a, b in zip(edge[:-1], edge[1:])]], schema=_schema(ASKED)
-                )
+            for bucket in batch.column(0).to_pylist():
+                row = partition(model.folder, "counts", bucket)
+                if row:
+                    word = np.unique(unpack(row["word"]))
+                    part = (word % np.uint64(model.buckets)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    word, part = word[order], part[order]
+                    edge = np.r_[_runs(part), len(part)]
+                    yield pa.record_batch(
+                        [pa.array(part[edge[:-1]]), pa.array([bucket] * (len(edge) - 1), pa.int32()), [pack(word[a:b]) for a, b in zip(edge[:-1], edge[1:])]], schema=_schema(ASKED)
+                    )
 
-    return counts.select("bucket", "word").mapInArrow(emit, ASKED)
+    return spark.range(0, model.buckets, 1, model.buckets).mapInArrow(emit, ASKED)
 
 
 def _vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -277,16 +294,15 @@ def log_weight(used, below, lower):
     return np.log10(1 - used / below) - np.log10(np.maximum(1 - lower, 1e-12))
 
 
-WEIGHTED = PAIRS + ", total binary, below binary, alpha binary, hot binary, hot_used binary, hot_lower binary"
+WEIGHTED = PAIRS + ", total binary, alpha binary, hot binary, hot_used binary, hot_lower binary"
 
 
 def weigh(model: Model):
     """A bucket's backoff weights; for spread contexts, its part of their sums."""
 
-    def bucket(counts: pa.Table, told: pa.Table) -> pa.Table:
-        if not counts.num_rows:
-            return _schema(WEIGHTED).empty_table()
-        row = counts.to_pylist()[0]
+    def bucket(told: pa.Table) -> pa.Table:
+        number = told["bucket"][0].as_py()
+        row = partition(model.folder, "counts", number)
         ctx, word, n = _expand(row)
         n = n.astype(np.int64)
         answers = told.to_pylist()
@@ -298,11 +314,10 @@ def weigh(model: Model):
         total, used, lower = np.add.reduceat(n, begin), np.add.reduceat(used, begin), np.add.reduceat(lower, begin)
         first = ctx[begin]
         spread = np.isin(first, model.hot)
-        below = total + (used >= total)
-        alpha = log_weight(used, below, lower)
+        alpha = log_weight(used, total + (used >= total), lower).astype(np.float32)
         alpha[spread] = 0
-        more = [total.tobytes(), below.tobytes(), alpha.tobytes(), first[spread].tobytes(), used[spread].tobytes(), lower[spread].tobytes()]
-        return pa.table([[row["bucket"]], [row["ctx"]], [row["run"]], [row["word"]], [row["n"]], *([m] for m in more)], schema=_schema(WEIGHTED))
+        more = [total.tobytes(), alpha.tobytes(), first[spread].tobytes(), used[spread].tobytes(), lower[spread].tobytes()]
+        return pa.table([[number], [row["ctx"]], [row["run"]], [row["word"]], [row["n"]], *([m] for m in more)], schema=_schema(WEIGHTED))
 
     return bucket
 
@@ -345,16 +360,15 @@ def train(rows: DataFrame, folder: str) -> Model:
     model.hot = np.array(sorted(hot), np.uint64)
     model.hot_count = np.array([hot[int(h)] for h in model.hot], float)
     by_bucket = training_pairs(rows, model).repartition(model.buckets, "bucket").groupBy("bucket")
-    by_bucket.applyInArrow(merge_bucket, COUNTS).write.parquet(f"{folder}/counts")
+    by_bucket.applyInArrow(merge_bucket, COUNTS).write.partitionBy("bucket").parquet(f"{folder}/counts")
     del by_bucket
     _release(spark)
-    arrow_rows(spark, 1)
-    counts = spark.read.parquet(f"{folder}/counts")
-    of_counts = counts.select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()
+    arrow_rows(spark, 20_000)
+    of_counts = spark.read.parquet(f"{folder}/counts").select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()
     model.d2 = discounts([r["n"] for r in of_counts])
     parts = words.withColumn("part", F.pmod(F.col("word"), F.lit(model.buckets)).cast("int"))
-    told = ask(counts, model).groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(tell, TOLD)
-    counts.drop("of_counts").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(weigh(model), WEIGHTED).write.parquet(f"{folder}/pairs")
+    told = ask(spark, model).groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(tell, TOLD)
+    told.groupBy("bucket").applyInArrow(weigh(model), WEIGHTED).write.partitionBy("bucket").parquet(f"{folder}/pairs")
     sums = {r["ctx"]: r for r in _hot_sums(spark.read.parquet(f"{folder}/pairs")).collect()} if len(model.hot) else {}
     used, lower = (np.array([sums[int(h)][k] if int(h) in sums else 0.0 for h in model.hot]) for k in ("used", "lower"))
     model.hot_below = model.hot_count + (used >= model.hot_count)
@@ -411,18 +425,18 @@ SUMS = "part int, block long, doc binary, score binary, base binary, known binar
 def score_bucket(model: Model):
     """Scores of the pairs that the bucket knows; backoff weights and words of the others."""
 
-    def bucket(asked: pa.Table, table: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _out([])
-        if asked["bucket"][0].as_py() < 0:
+    def bucket(asked: pa.Table) -> pa.Table:
+        number = asked["bucket"][0].as_py()
+        if number < 0:
             return _out([{"block": r["block"], "ids": r["ids"], "held": r["held"], "tokens": r["tokens"]} for r in asked.to_pylist()])
         first, total, below, alpha = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         key, key_ctx, key_word, key_n = (np.zeros(0, np.uint64),) * 4
-        if table.num_rows:
-            row = table.to_pylist()[0]
-            first, alpha = unpack(row["ctx"]), np.frombuffer(row["alpha"], np.float64)
-            total, below = np.frombuffer(row["total"], np.int64), np.frombuffer(row["below"], np.int64)
+        row = partition(model.folder, "pairs", number) if model.total else None
+        if row:
+            first, total, alpha = unpack(row["ctx"]), np.frombuffer(row["total"], np.int64), np.frombuffer(row["alpha"], np.float32).astype(float)
             key_ctx, key_word, key_n = _expand(row)
+            # one more for contexts of frequent pairs only
+            below = total + (np.minimum.reduceat(key_n, _runs(key_ctx)) > K)
             key = _mix(key_ctx, key_word)
             order = np.argsort(key)
             key, key_ctx, key_word, key_n = key[order], key_ctx[order], key_word[order], key_n[order]
@@ -449,7 +463,7 @@ def score_bucket(model: Model):
             width = int(doc.max()) + 1
             sums = [np.bincount(doc, np.repeat(v, per) * times, width) for v in (value, base, is_word & (c_ctx > 0))]
             some = np.nonzero(np.bincount(doc, minlength=width))[0]
-            out.append({"part": -1, "block": r["block"], "doc": some.astype(np.uint16).tobytes(), "score": sums[0][some].astype(np.float32).tobytes(), "base": sums[1][some].tobytes(), "known": sums[2][some].astype(np.uint32).tobytes()})
+            out.append({"part": -1, "block": r["block"], "doc": some.astype(np.uint16).tobytes(), "score": sums[0][some].astype(np.float32).tobytes(), "base": sums[1][some].astype(np.float32).tobytes(), "known": sums[2][some].astype(np.uint32).tobytes()})
             if not seen.all():
                 lost = np.repeat(~seen, per)
                 missing.append((np.repeat(word, per)[lost], np.full(lost.sum(), r["block"]), doc[lost].astype(np.uint16), times[lost].astype(np.uint32)))
@@ -496,7 +510,7 @@ def score_words(model: Model):
         value, block, doc = np.add.reduceat(value, begin), block[begin], doc[begin]
         edge = np.r_[_runs(block), len(block)]
         return pa.Table.from_pylist(
-            [{"block": int(block[a]), "doc": doc[a:b].tobytes(), "score": value[a:b].astype(np.float32).tobytes(), "base": bytes(8 * (b - a)), "known": bytes(4 * (b - a))} for a, b in zip(edge[:-1], edge[1:])],
+            [{"block": int(block[a]), "doc": doc[a:b].tobytes(), "score": value[a:b].astype(np.float32).tobytes(), "base": bytes(4 * (b - a)), "known": bytes(4 * (b - a))} for a, b in zip(edge[:-1], edge[1:])],
             schema=_schema(PARTIAL),
         )
 
@@ -510,7 +524,7 @@ def sum_block(sums: pa.Table, docs: pa.Table) -> pa.Table:
     for r in sums.to_pylist():
         at = np.frombuffer(r["doc"], np.uint16)
         score[at] += np.frombuffer(r["score"], np.float32)
-        base[at] += np.frombuffer(r["base"], np.float64)
+        base[at] += np.frombuffer(r["base"], np.float32)
         known[at] += np.frombuffer(r["known"], np.uint32)
     return pa.table(
         [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["tokens"], pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
@@ -525,17 +539,13 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     words = spark.read.parquet(f"{model.folder}/unigrams")
     ends = 0
     if model.total:
-        pairs = spark.read.parquet(f"{model.folder}/pairs").drop("hot", "hot_used", "hot_lower")
         ends = (words.where(F.col("word") == END).first() or {"c": 0})["c"]
-    else:
-        pairs = spark.createDataFrame([], f"{PAIRS}, total binary, below binary, alpha binary")
-    asked = scoring_pairs(rows, model)
-    scored = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(score_bucket(model), SUMS + DOCS)
+    scored = scoring_pairs(rows, model).groupBy("bucket").applyInArrow(score_bucket(model), SUMS + DOCS)
     at = f"{model.folder}/sums-{uuid.uuid4().hex}"
     scored.write.parquet(at)
     _release(spark)
     scored = spark.read.parquet(at)
-    arrow_rows(spark, 100)
+    arrow_rows(spark, 20_000)
     parts = words.withColumn("part", F.pmod(F.col("word"), F.lit(model.buckets)).cast("int"))
     lower = scored.where("part >= 0").groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(score_words(model), PARTIAL)
     sums = scored.where("part = -1").select("block", "doc", "score", "base", "known").unionByName(lower)
