@@ -21,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
+    if found.startswith("file:/") and not found.startswith("file://"):
+        found = f"file://{found[5:]}"  # the form that all file systems' libraries read
     return found.rstrip("/")
 
 

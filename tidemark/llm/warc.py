@@ -212,8 +212,6 @@ def read(spark, folder: str, with_payload: bool = False) -> DataFrame:
 def op7_warc(spark, sf_dir) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
     write(pages, folder, sample_dictionary(pages))
     kind = pages.schema["page_id"].dataType
     return read(spark, folder).select(
