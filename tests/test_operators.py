@@ -183,3 +183,14 @@ def test_zipf_ranks_are_in_range_and_fall(spark):
 def test_orders_of_a_district_are_of_different_customers(spark):
     o = tables.order(spark, 1)
     assert o.groupBy("d_id").agg(F.count_distinct("c_id").alias("n")).where("n <> 3000").count() == 0
+
+
+def test_json_transactions_of_one_file_each(spark, tmp_path):
+    from tidemark.sources import requests
+
+    (tmp_path / "copy.json").write_text('{\n "read_set": ["A"],\n "write_set": ["C"],\n "code": [["COPY", "A", "C"], []]\n}')
+    (tmp_path / "move.json").write_text('{"write_set": ["A"], "new_master": 1}')
+    txns = requests.json_txns(spark, str(tmp_path))
+    assert {(r.file, r.place, r.key, r.is_write) for r in requests.accesses(txns).collect()} == {("copy.json", 0, "C", True), ("copy.json", 1, "A", False), ("move.json", 0, "A", True)}
+    assert {(r.command, r.a, r.b) for r in requests.procedures(txns).collect()} == {("COPY", "A", "C"), (None, None, None)}
+    assert {(r.file, r.new_master) for r in txns.select("file", "new_master").collect()} == {("copy.json", None), ("move.json", 1)}
