@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-Words are bags of their character n-grams (3 to 5 bytes, with the spaces around a word as its ends), hashed into a
+Words are bags of their character n-grams (3 to 6 bytes, with the spaces around a word as its ends), hashed into a
 table of embeddings, so a misspelling that was never seen shares most vectors with the word that was. A text is cut
 into windows of ``WINDOW`` words; the n-gram vectors of a window are averaged and go through a linear softmax; the
 text's score is that of its most toxic window, so that a few words count in a text of any length. Embeddings and
@@ -29,10 +29,10 @@ from pyspark.sql.types import DoubleType
 from .common import arrow_rows, held_out, text_bytes
 from .labelled import Sample, training_sample
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
-WINDOW = 5
+WINDOW = 3
 HELD_OUT = 4
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents a label, bytes a document.
