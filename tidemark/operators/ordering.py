@@ -72,10 +72,9 @@ def ack_set(order: Column, replication_factor: int) -> Column:
 
 
 def global_order(logs: DataFrame) -> DataFrame:
-    """One interleaving of the regions' logs that keeps each region's order: by slot, then region.
+    """One interleaving of the regions' logs that keeps each region's order: rows compare by (slot, home).
 
-    A row's place is counted from the rows before it, summed by slot, so that no task sorts the whole log; slots are
-    numbered without gaps, and there is one row a slot and region at most.
+    The key is enough to order any two rows, so no task sorts the whole log.
     """
     return logs.withColumn("order_key", F.struct("slot", "home"))
 
