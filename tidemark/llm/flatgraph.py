@@ -404,8 +404,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         links, forest = parts[0]
         for more_links, more in parts[1:]:
             links, forest = links.unionByName(more_links), forest.unionByName(more)
-        joined = nodes.join(links, "node", "left").join(components(forest), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        joined = cut(nodes.join(links, "node", "left").join(components(forest), "node", "left").withColumn("component", F.coalesce("component", "node")))
+        first = cut(joined.groupBy("component").agg(F.min("first_id").alias("component_id")))
         named = cut(joined.join(first, "component").select("embedding", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), "component_id"))
     found = good.join(named, "embedding").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -153,8 +153,8 @@ def cluster(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     arrow_rows(docs.sparkSession, 10_000)
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     joined = components(links(fps)).select(F.col("node").alias("fp"), "component")
-    of = fps.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of = cut(fps.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    first = cut(of.groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = of.join(first, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
