@@ -21,7 +21,7 @@ from tidemark.llm.labelled import Sample
 
 from ..conftest import SMALL
 from ..test_queries import rows
-from .helpers import clashing, documents, empty, prose
+from .helpers import SCHEMA, clashing, documents, empty, prose
 
 
 def words(text):
@@ -225,7 +225,9 @@ START = ("start",)
 def test_katz_is_the_brute_force_model(bucket, spark, monkeypatch):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
-    docs = clashing(documents(spark))
+    # pairs that alone would fill a bucket, and frequent words in new company
+    often = spark.createDataFrame([(3000 + i, "of the " * 900 + f"new{i} the end{i}", "en", "s0", 1) for i in range(12)], SCHEMA)
+    docs = clashing(documents(spark).unionByName(often))
     found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in katz.language_model(docs).collect())
     wanted = brute_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     key = lambda c: sorted(((str(k[0]), *k[1:5], k[5], k[6]), n) for k, n in c.items())

@@ -10,12 +10,14 @@ Tables. Words are 48-bit hashes. The unigram table has a row a word. The pair ta
 buckets of about ``BUCKET_TOKENS`` tokens: a row a bucket, read by the task that works on it, with its contexts, their counts and backoff weights, and the
 words that followed and how often, as packed arrays. Contexts that alone would fill a bucket (the start of a text, "the")
 are spread over all buckets by their following word; there are fewer of them than buckets, and their totals are a
-broadcast.
+broadcast. So are the counts of pairs that alone would fill a bucket ("of the").
 
 Evaluation goes down the orders. Texts are cut into blocks of tokens; a block sends each bucket the pairs it has of it,
 once each, with the places where they stand. A bucket scores the pairs that it knows; for others it adds the backoff
-weight and sends the word on to the unigram table's partition. Sums by document come back a block at a time. What
-moves grows with the tokens, and no task ever holds more than a bucket, a block, or a part of the vocabulary.
+weight and sends the word on to the unigram table's partition. Sums by document come back a block at a time. Pairs and
+words that are so frequent that their counts are a broadcast are scored where they stand and never sent, so that no
+partition gets one that every document has. What moves grows with the tokens, and no task ever holds more than a bucket,
+a block, or a part of the vocabulary.
 
 Defined results: a null or empty text is the end token alone; without training documents N and V are 0 and every word
 is unknown with probability 1; null ids are those of the text '' for holding out and keep their rows; repeated rows
@@ -83,6 +85,18 @@ def discounts(of_counts: list[int], k: int = K) -> np.ndarray:
     return d
 
 
+@dataclass
+class HotPairs:
+    """Context, word and count of pairs, in the order of ``_mix``."""
+
+    ctx: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+
+    def counts(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return _pair_counts(_mix(self.ctx, self.word), self.ctx, self.word, self.n, ctx, word)
+
+
 @dataclass
 class Model:
     """Tables and numbers of a trained model."""
@@ -99,6 +113,8 @@ class Model:
     hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
     hot_below: np.ndarray = field(default_factory=lambda: np.zeros(0))
     hot_alpha: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Pairs that would fill a bucket, sorted by the mixture of both; their contexts are spread ones.
+    hot_pairs: HotPairs = field(default_factory=lambda: HotPairs(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     #: What counts of words are divided by: all tokens, one more if nothing is discounted.
     below: int = 0
 
@@ -109,6 +125,14 @@ class Model:
         kept = np.where(count > K, 1.0, self.d1[np.minimum(count, K)])
         return np.where(count > 0, count * kept / self.below, self.unknown)
 
+    def log_seen(self, count: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """log10 P(w | h) of seen pairs by their counts and what their contexts' counts are divided by."""
+        return np.log10(count * np.where(count > K, 1.0, self.d2[np.minimum(count, K)]) / below)
+
+    def hot_words(self, word: np.ndarray) -> np.ndarray:
+        """Counts of the words that are so frequent as to be spread contexts, 0 for others; the end is as frequent as the start."""
+        return _look_up(self.hot, self.hot_count, np.where(word == END, np.uint64(START), word)).astype(np.int64)
+
     def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hot, context)
         spread = self.hot[np.minimum(at, len(self.hot) - 1)] == context if len(self.hot) else np.zeros(len(context), bool)
@@ -278,6 +302,14 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nda
     return np.where(keys[at] == wanted, values[at], 0)
 
 
+def _pair_counts(key, key_ctx, key_word, key_n, ctx, word) -> np.ndarray:
+    """Counts of pairs by the sorted mixtures of those that are known, 0 for what isn't there."""
+    if not len(key):
+        return np.zeros(len(word), np.int64)
+    at = np.minimum(np.searchsorted(key, _mix(ctx, word)), len(key) - 1)
+    return np.where((key_ctx[at] == ctx) & (key_word[at] == word), key_n[at], 0).astype(np.int64)
+
+
 def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Counts of the words asked for."""
     word, c = _vocabulary(known)
@@ -333,6 +365,24 @@ def _hot_sums(weighted: DataFrame) -> DataFrame:
     return weighted.select("hot", "hot_used", "hot_lower").mapInArrow(emit, kinds).groupBy("ctx").agg(F.sum("used").alias("used"), F.sum("lower").alias("lower"))
 
 
+def _hot_pairs(weighted: DataFrame, most: int) -> HotPairs:
+    """Pairs of more than ``most`` tokens; fewer than there are buckets."""
+    kinds = "ctx long, word long, n long"
+
+    def emit(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ctx, word, n = _expand(r)
+                some = n > most
+                yield pa.record_batch([ctx[some].view(np.int64), word[some].view(np.int64), n[some].astype(np.int64)], schema=_schema(kinds))
+
+    found = weighted.select("ctx", "run", "word", "n").mapInArrow(emit, kinds).toArrow()
+    ctx, word, n = (found[c].to_numpy() for c in ("ctx", "word", "n"))
+    ctx, word = ctx.view(np.uint64), word.view(np.uint64)
+    order = np.argsort(_mix(ctx, word))
+    return HotPairs(ctx[order], word[order], n[order])
+
+
 def _release(spark) -> None:
     """Let go of the shuffle files of frames that are done with, which Spark otherwise keeps until the driver tidies up."""
     gc.collect()
@@ -373,13 +423,15 @@ def train(rows: DataFrame, folder: str) -> Model:
     used, lower = (np.array([sums[int(h)][k] if int(h) in sums else 0.0 for h in model.hot]) for k in ("used", "lower"))
     model.hot_below = model.hot_count + (used >= model.hot_count)
     model.hot_alpha = log_weight(used, model.hot_below, lower)
+    if len(model.hot):
+        model.hot_pairs = _hot_pairs(spark.read.parquet(f"{folder}/pairs"), model.total // model.buckets)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/counts")  # the pairs table has all of it
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _release(spark)
     return model
 
 
-ASKS = "bucket int, block long, ctx binary, run binary, word binary, n binary, doc binary, times binary"
+ASKS = "bucket int, block long, ctx binary, run binary, word binary, n binary, doc binary, times binary, score binary, base binary, known binary"
 
 
 DOCS = ", ids array<long>, held array<boolean>, tokens array<long>"
@@ -390,13 +442,20 @@ def _with_docs(ddl: str) -> pa.Schema:
 
 
 def scoring_pairs(rows: DataFrame, model: Model) -> DataFrame:
-    """Pairs of each block with where they stand, a row a bucket; and a row of a negative bucket with its documents."""
+    """Pairs of each block with where they stand, a row a bucket; and a row of a negative bucket with its documents.
+
+    That row also has what the very frequent pairs come to, by document.
+    """
 
     def emit(batches):
         task, k = TaskContext.get().partitionId(), 0
         for ids, held, lens, doc, ctx, word in _blocks(batches):
             block, k = (task << 24) + k, k + 1
-            yield pa.RecordBatch.from_pylist([{"bucket": -1 - block % model.buckets, "block": block, "ids": ids, "held": held, "tokens": lens.tolist()}], schema=_with_docs(ASKS))
+            n = model.hot_pairs.counts(ctx, word)
+            here = n > 0
+            sums = _hot_scores(model, n[here], ctx[here], doc[here])
+            ctx, word, doc = ctx[~here], word[~here], doc[~here]
+            yield pa.RecordBatch.from_pylist([{"bucket": -1 - block % model.buckets, "block": block, "ids": ids, "held": held, "tokens": lens.tolist(), **sums}], schema=_with_docs(ASKS))
             bucket = model.bucket(ctx, word)
             order = np.lexsort((doc, word, ctx, bucket))
             b, c, w, d = bucket[order], ctx[order], word[order], doc[order]
@@ -419,6 +478,20 @@ def scoring_pairs(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(emit, ASKS + DOCS)
 
 
+def _sums(doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray, times=1.0) -> dict:
+    """Sums by document, packed; of the documents that have any."""
+    some = np.nonzero(np.bincount(doc))[0]
+    score, base, known = (np.bincount(doc, v * times)[some] for v in (score, base, known))
+    return {"doc": some.astype(np.uint16).tobytes(), "score": score.astype(np.float32).tobytes(), "base": base.astype(np.float32).tobytes(), "known": known.astype(np.uint32).tobytes()}
+
+
+def _hot_scores(model: Model, n: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> dict:
+    """What tokens of very frequent pairs come to, by document."""
+    is_word = ctx != START
+    base = np.where(is_word, np.log10(_look_up(model.hot, model.hot_count, ctx) + 1), 0)
+    return _sums(doc, model.log_seen(n, _look_up(model.hot, model.hot_below, ctx)), base, is_word)
+
+
 SUMS = "part int, block long, doc binary, score binary, base binary, known binary, word binary, blocks binary, times binary"
 
 
@@ -428,7 +501,9 @@ def score_bucket(model: Model):
     def bucket(asked: pa.Table) -> pa.Table:
         number = asked["bucket"][0].as_py()
         if number < 0:
-            return _out([{"block": r["block"], "ids": r["ids"], "held": r["held"], "tokens": r["tokens"]} for r in asked.to_pylist()])
+            rows = asked.to_pylist()
+            own = [{"part": -1, **{k: r[k] for k in ("block", "doc", "score", "base", "known")}} for r in rows]
+            return _out([{k: r[k] for k in ("block", "ids", "held", "tokens")} for r in rows] + own)
         first, total, below, alpha = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         key, key_ctx, key_word, key_n = (np.zeros(0, np.uint64),) * 4
         row = partition(model.folder, "pairs", number) if model.total else None
@@ -449,23 +524,21 @@ def score_bucket(model: Model):
             a_ctx = np.where(hot > 0, _look_up(model.hot, model.hot_alpha, ctx), _look_up(first, alpha, ctx))
             b_ctx = np.where(hot > 0, _look_up(model.hot, model.hot_below, ctx), _look_up(first, below, ctx))
             ctx, c_ctx, b_ctx, a_ctx = (np.repeat(x, run) for x in (ctx, c_ctx, b_ctx, a_ctx))
-            n = np.zeros(len(word), np.int64)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, _mix(ctx, word)), len(key) - 1)
-                n = np.where((key_ctx[at] == ctx) & (key_word[at] == word), key_n[at], 0).astype(np.int64)
-            seen = n > 0
-            value = np.where(seen, np.log10(np.where(seen, n * np.where(n > K, 1.0, model.d2[np.minimum(n, K)]), 1) / np.maximum(b_ctx, 1)), a_ctx)
+            n = _pair_counts(key, key_ctx, key_word, key_n, ctx, word)
+            seen, c_word = n > 0, model.hot_words(word)
+            value = np.where(seen, model.log_seen(np.maximum(n, 1), np.maximum(b_ctx, 1)), a_ctx)
+            # the recursion ends here for very frequent words
+            frequent = ~seen & (c_word > 0)
+            value[frequent] += np.log10(model.p1(c_word[frequent]))
+            away = ~seen & ~frequent
             # the plain model and the count of known words look at contexts as words; each but the start is one once
             is_word = ctx != START
             base = np.where(is_word, np.log10(c_ctx + 1), 0)
             per = np.frombuffer(r["n"], np.uint32)
             doc, times = np.frombuffer(r["doc"], np.uint16).astype(np.int64), np.frombuffer(r["times"], np.uint32).astype(float)
-            width = int(doc.max()) + 1
-            sums = [np.bincount(doc, np.repeat(v, per) * times, width) for v in (value, base, is_word & (c_ctx > 0))]
-            some = np.nonzero(np.bincount(doc, minlength=width))[0]
-            out.append({"part": -1, "block": r["block"], "doc": some.astype(np.uint16).tobytes(), "score": sums[0][some].astype(np.float32).tobytes(), "base": sums[1][some].astype(np.float32).tobytes(), "known": sums[2][some].astype(np.uint32).tobytes()})
-            if not seen.all():
-                lost = np.repeat(~seen, per)
+            out.append({"part": -1, "block": r["block"], **_sums(doc, *(np.repeat(v, per) for v in (value, base, is_word & (c_ctx > 0))), times)})
+            if away.any():
+                lost = np.repeat(away, per)
                 missing.append((np.repeat(word, per)[lost], np.full(lost.sum(), r["block"]), doc[lost].astype(np.uint16), times[lost].astype(np.uint32)))
         if missing:
             word, block, doc, times = map(np.concatenate, zip(*missing))
