@@ -49,6 +49,7 @@ ID_BYTES = 6
 #: Tokens in a bucket of pairs, about; tokens and documents in a block.
 BUCKET_TOKENS, FEWEST_BUCKETS = 2_500_000, 12
 BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 60_000
+SLICE = 1 << 16  # tokens looked up at once
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -94,7 +95,10 @@ class HotPairs:
     n: np.ndarray
 
     def counts(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return _pair_counts(_mix(self.ctx, self.word), self.ctx, self.word, self.n, ctx, word)
+        key, out = _mix(self.ctx, self.word), np.zeros(len(ctx), np.int64)
+        for at in range(0, len(ctx), SLICE):
+            out[at : at + SLICE] = _pair_counts(key, self.ctx, self.word, self.n, ctx[at : at + SLICE], word[at : at + SLICE])
+        return out
 
 
 @dataclass
@@ -174,8 +178,10 @@ def _blocks(batches, held: bool = True):
             words.append(np.r_[w, np.uint64(END)])
             n += len(w) + 1
             if n >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                yield block()
+                full = block()
                 ids, out, lens, ctx, words, n = [], [], [], [], [], 0
+                yield full
+                del full
     if ids:
         yield block()
 
