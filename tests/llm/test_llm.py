@@ -50,8 +50,10 @@ def planted(seed=2, n=400, d=16):
     return x.astype(np.float32)
 
 
-def test_graph_finds_the_links_of_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(flatgraph, "CELL", 60)
+@pytest.mark.parametrize("cell, per_cell", [(60, flatgraph.PER_CELL), (15, 100)])  # the latter's cells are split again
+def test_graph_finds_the_links_of_brute_force(spark, monkeypatch, cell, per_cell):
+    monkeypatch.setattr(flatgraph, "CELL", cell)
+    monkeypatch.setattr(flatgraph, "PER_CELL", per_cell)
     x = planted()
     x[300:320] = x[300]  # copies
     ids = list(range(len(x)))
@@ -72,6 +74,19 @@ def test_graph_finds_the_links_of_brute_force(spark, monkeypatch):
     assert found[0].audited_recall > 0.9
 
 
+def test_wide_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "CELL", 15)
+    x = planted()
+    nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "node long, copies long, embedding array<float>")
+    rows = flatgraph.split_wide(flatgraph.place(nodes, flatgraph.centres(x, 4)), nodes).collect()
+    sizes = Counter(r.cell for r in rows)
+    assert len(rows) == flatgraph.OVERLAP * len(x) and len(sizes) > 12 and max(sizes.values()) < 200
+    for r in rows:
+        assert r.cell in r.cells and len(set(r.cells)) == flatgraph.OVERLAP
+    home = {r.node: r.near for r in rows if r.cell == r.cells[0]}
+    assert all(r.near <= home[r.node] for r in rows)
+
+
 def test_graph_of_no_vectors(spark):
     assert flatgraph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

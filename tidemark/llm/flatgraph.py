@@ -4,7 +4,9 @@ Vectors that are equal collapse first, so copies cost nothing later. Centres of
 in halves again and again, so that a dense region gets many cells and none takes in a hot group as a whole. Every
 vector belongs to its ``OVERLAP`` nearest cells, the first being its home. A cell builds its part of the graph: nearest
 members and some drawn at random, robust-pruned, with reverse edges and every member reachable from the medoid. The
-adjacency lists of a vector's cells are united into one.
+adjacency lists of a vector's cells are united into one. Cells that have more members than ``WIDEST`` times what is
+meant, as all have where vectors are more than one sample can tell apart, are split again, each by a bounded sample of its
+own members, level after level; a vector then belongs to the nearest of all parts that its cells came to.
 
 The search is on that united graph, a cell at a time: from the medoid greedily to the query, then expanding over
 whatever is within ``SLACK`` of the threshold. Cells meet in their shared members: a query that finds a vector whose
@@ -32,7 +34,10 @@ from .components import components, local_labels
 
 THRESHOLD = 0.9
 OVERLAP = 3
-CELL = 1000  # vectors of a cell, about, while the sample allows as many cells
+CELL = 1000  # homes of a cell, about
+WIDEST, FAN, LEVELS = 8, 64, 8  # when a cell is split, into how many parts at most, and how often
+DEALT = 20_000  # members of a wide cell that a task deals to its parts
+FEW_CELLS = 100_000  # wide cells are a broadcast up to this many
 SAMPLE, SAMPLE_BYTES, PER_CELL = 200_000, 64 << 20, 16
 DEGREE, NEAREST, DRAWN, ALPHA = 24, 40, 16, 1.2
 MOST = 3 * DEGREE  # edges of a vector within a cell, reverse ones included
@@ -215,7 +220,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, starts: np.ndarray, queries: np.
 
 
 def place(nodes: DataFrame, middle: np.ndarray) -> DataFrame:
-    """A row for each node and each of its cells; cells: all of them, the home first."""
+    """A row for each node and each of its cells, how near its centre is; cells: all of them, the home first."""
     shared = nodes.sparkSession.sparkContext.broadcast(middle)
     kind = nodes.schema["embedding"].dataType.simpleString()
 
@@ -223,15 +228,62 @@ def place(nodes: DataFrame, middle: np.ndarray) -> DataFrame:
         c = shared.value
         for batch in batches:
             x = matrix(batch.column("embedding"))
-            near = np.argsort(-(x.astype(np.float32) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+            close = x.astype(np.float32) @ c.T
+            near = np.argsort(-close, axis=1, kind="stable")[:, :OVERLAP]
             n, k = near.shape
+            close = np.take_along_axis(close, near, 1)
             take = pa.array(np.repeat(np.arange(n), k))
             yield pa.record_batch(
-                [batch.column("node").take(take), pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(near, k, axis=0).astype(np.int32).tolist(), pa.list_(pa.int32())), batch.column("copies").take(take), batch.column("embedding").take(take)],
-                names=["node", "cell", "cells", "copies", "embedding"],
+                [batch.column("node").take(take), pa.array(near.ravel()), pa.array(close.ravel()), pa.array(np.repeat(near, k, axis=0).tolist(), pa.list_(pa.int64())), batch.column("copies").take(take), batch.column("embedding").take(take)],
+                names=["node", "cell", "near", "cells", "copies", "embedding"],
             )
 
-    return nodes.select("node", "copies", "embedding").mapInArrow(cells, f"node long, cell int, cells array<int>, copies long, embedding {kind}")
+    return nodes.select("node", "copies", "embedding").mapInArrow(cells, f"node long, cell long, near float, cells array<long>, copies long, embedding {kind}")
+
+
+def part_centres(key: tuple, drawn: pa.Table) -> pa.Table:
+    """Centres of the parts of one wide cell, from those of its members that were drawn."""
+    drawn = drawn.sort_by("node")
+    middle = centres(matrix(drawn["embedding"]).astype(np.float32), drawn["parts"][0].as_py())
+    n = len(middle)
+    return pa.table([[key[0].as_py()] * n, pa.array(range(n), pa.int32()), pa.array(middle.tolist(), pa.list_(pa.float32()))], names=["cell", "part", "centre"])
+
+
+def nearest_parts(members: pa.Table, middles: pa.Table) -> pa.Table:
+    """node, cell, near: the OVERLAP nearest parts of a wide cell for some of its members."""
+    schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("near", pa.float32())])
+    if not members.num_rows:
+        return schema.empty_table()
+    cell = members["cell"][0].as_py()
+    if not middles.num_rows:
+        return pa.table([members["node"], [cell * FAN] * len(members), members["near"]], schema=schema)
+    middles = middles.sort_by("part")
+    close = matrix(members["embedding"]).astype(np.float32) @ np.array(middles["centre"].to_pylist(), np.float32).T
+    best = np.argsort(-close, axis=1, kind="stable")[:, :OVERLAP]
+    return pa.table([np.repeat(members["node"].to_numpy(), best.shape[1]), cell * FAN + best.ravel(), np.take_along_axis(close, best, 1).ravel()], schema=schema)
+
+
+def split_wide(placed: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """``placed`` anew with every wide cell split; None if there is none. Cell c becomes FAN * c and what follows."""
+    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDEST * CELL))
+    n_wide = sizes.count()
+    if not n_wide:
+        return None
+    parts = F.least(F.lit(FAN), F.ceil(F.col("n") / (OVERLAP * CELL))).cast("int")
+    wide = sizes.select("cell", "n", parts.alias("parts"), F.ceil(F.col("n") / DEALT).cast("int").alias("deals"))
+    marked = placed.join(F.broadcast(wide) if n_wide <= FEW_CELLS else wide, "cell", "left")
+    mine = marked.where("parts is not null")
+    drawn = mine.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.col("parts") * PER_CELL / F.col("n") * (1 << 20)).select("cell", "node", "parts", "embedding")
+    middles = cut(drawn.groupBy("cell").applyInArrow(part_centres, "cell long, part int, centre array<float>"))
+    every = middles.join(wide, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "part", "centre")
+    dealt = mine.select("cell", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("deals")).cast("int").alias("deal"), "node", "near", "embedding")
+    split = dealt.groupBy("cell", "deal").cogroup(every.groupBy("cell", "deal")).applyInArrow(nearest_parts, "node long, cell long, near float")
+    as_it_was = marked.where("parts is null").select("node", (F.col("cell") * FAN).alias("cell"), "near")
+    # at most OVERLAP parts of each of OVERLAP cells
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("near", "cell")))), 1, OVERLAP)
+    chosen = split.unionByName(as_it_was).groupBy("node").agg(best.alias("best"))
+    rows = chosen.select("node", F.col("best.cell").alias("cells"), F.explode("best").alias("b")).select("node", "b.cell", "b.near", "cells")
+    return cut(rows.join(nodes.select("node", "copies", "embedding"), "node"))
 
 
 def adjacency(members: DataFrame) -> DataFrame:
@@ -249,14 +301,14 @@ def adjacency(members: DataFrame) -> DataFrame:
     return part.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
 
-FOUND = "kind int, node long, links long, other long, cell int, seeds array<long>, visited array<int>"
+FOUND = "kind int, node long, links long, other long, cell long, seeds array<long>, visited array<long>"
 
 
 def search_cell(threshold: float):
     """Searches of one round in one cell: counts (kind 0), forest of links (1) and queries that go on elsewhere (2)."""
 
     def cell(asked: pa.Table, members: pa.Table) -> pa.Table:
-        schema = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("cell", pa.int32()), ("seeds", pa.list_(pa.int64())), ("visited", pa.list_(pa.int32()))])
+        schema = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("cell", pa.int64()), ("seeds", pa.list_(pa.int64())), ("visited", pa.list_(pa.int64()))])
         if not asked.num_rows or not members.num_rows:
             return schema.empty_table()
         node = members["node"].to_numpy()
@@ -330,6 +382,11 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     middle = centres(matrix(drawn["embedding"]).astype(np.float32), n_cells) if drawn.num_rows else np.zeros((1, width), np.float32)
     arrow_rows(spark, 2000)
     placed = cut(place(nodes, middle))
+    for _ in range(LEVELS):
+        again = split_wide(placed, nodes)
+        if again is None:
+            break
+        placed = again
     members = cut(placed.join(adjacency(placed), "node", "left"))
     vectors = nodes.select("node", "embedding")
     ask = members.select("cell", "node", "embedding", F.lit(None).cast("array<long>").alias("seeds"), F.col("cells").alias("visited"))
