@@ -163,7 +163,7 @@ def _blocks(batches, held: bool = True):
     ids, out, lens, ctx, words, n = [], [], [], [], [], 0
 
     def block():
-        doc = np.repeat(np.arange(len(lens)), lens)
+        doc = np.repeat(np.arange(len(lens), dtype=np.uint16), lens)
         return ids, out, np.array(lens, np.int64), doc, np.concatenate(ctx), np.concatenate(words)
 
     for batch in batches:
@@ -178,10 +178,9 @@ def _blocks(batches, held: bool = True):
             words.append(np.r_[w, np.uint64(END)])
             n += len(w) + 1
             if n >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                full = block()
+                full = [block()]
                 ids, out, lens, ctx, words, n = [], [], [], [], [], 0
-                yield full
-                del full
+                yield full.pop()  # the reader alone holds it
     if ids:
         yield block()
 
@@ -202,10 +201,10 @@ PAIRS = "bucket int, ctx binary, run binary, word binary, n binary"
 
 
 def _pair_arrays(bucket, ctx, word):
-    """Order and beginnings of the distinct (bucket, ctx, word), and of the buckets."""
+    """The pairs in order, and the beginnings of the distinct (bucket, ctx, word)."""
     order = np.lexsort((word, ctx, bucket))
     b, c, w = bucket[order], ctx[order], word[order]
-    return order, b, c, w, _runs(b, c, w)
+    return b, c, w, _runs(b, c, w)
 
 
 def training_pairs(rows: DataFrame, model: Model) -> DataFrame:
@@ -213,7 +212,8 @@ def training_pairs(rows: DataFrame, model: Model) -> DataFrame:
 
     def emit(batches):
         for *_, ctx, word in _blocks(batches, held=False):
-            _, b, c, w, begin = _pair_arrays(model.bucket(ctx, word), ctx, word)
+            b, c, w, begin = _pair_arrays(model.bucket(ctx, word), ctx, word)
+            del ctx, word
             n = _lengths(begin, len(b)).astype(np.uint32)
             b, c, w = b[begin], c[begin], w[begin]
             edge = np.r_[_runs(b), len(b)]
@@ -460,14 +460,18 @@ def scoring_pairs(rows: DataFrame, model: Model) -> DataFrame:
             n = model.hot_pairs.counts(ctx, word)
             here = n > 0
             sums = _hot_scores(model, n[here], ctx[here], doc[here])
-            ctx, word, doc = ctx[~here], word[~here], doc[~here]
+            if here.any():
+                ctx, word, doc = ctx[~here], word[~here], doc[~here]
+            del n, here
             yield pa.RecordBatch.from_pylist([{"bucket": -1 - block % model.buckets, "block": block, "ids": ids, "held": held, "tokens": lens.tolist(), **sums}], schema=_with_docs(ASKS))
             bucket = model.bucket(ctx, word)
             order = np.lexsort((doc, word, ctx, bucket))
             b, c, w, d = bucket[order], ctx[order], word[order], doc[order]
+            del bucket, ctx, word, doc, order
             place = _runs(b, c, w, d)
             times = _lengths(place, len(b)).astype(np.uint32)
-            b, c, w, d = b[place], c[place], w[place], d[place].astype(np.uint16)
+            b, c, w, d = b[place], c[place], w[place], d[place]
+            del place
             edge = np.r_[_runs(b), len(b)]
             for lo, hi in zip(edge[:-1], edge[1:]):
                 pair = _runs(c[lo:hi], w[lo:hi])
