@@ -250,6 +250,13 @@ def partition(folder: str, table: str, bucket: int) -> dict | None:
     return None
 
 
+def _one_by_one(table: pa.Table):
+    """Rows as dictionaries, of which no more than one is a copy at a time."""
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 COUNTS = PAIRS + ", of_counts array<long>"
 
 
@@ -526,7 +533,7 @@ def score_bucket(model: Model):
             order = np.argsort(key)
             key, key_ctx, key_word, key_n = key[order], key_ctx[order], key_word[order], key_n[order]
         out, missing = [], []
-        for r in asked.to_pylist():
+        for r in _one_by_one(asked):
             ctx, run, word = unpack(r["ctx"]), np.frombuffer(r["run"], np.uint32), unpack(r["word"])
             hot = _look_up(model.hot, model.hot_count, ctx)
             # a spread context counts in the bucket of its following word
