@@ -9,6 +9,7 @@ from tidemark.functions import placement as P
 from tidemark.functions import strings as X
 from tidemark.operators import analysis as A
 from tidemark.operators import kv, locks, ordering, stats, store, tpcc, workload
+from tidemark.plans import registry
 from tidemark.sources import datums
 from tidemark.sources import tpcc as tables
 from tidemark.sources.requests import Configuration
@@ -103,6 +104,13 @@ def test_wait_edges_equal_a_sequential_lock_table(spark):
     assert {r.node: r.level for r in locks.levels(edges).collect()} == level
 
 
+def test_levels_of_the_log_follow_waits_across_batches(spark, tmp_path):
+    writes = [(i, 1, "R") for i in (0, 39, 40, 41, 80, 200)] + [(i, 2, "N") for i in (5, 81)] + [(300, 2, "R")]
+    spark.createDataFrame(writes, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.node: r.level for r in registry.QUERIES["exec_level_log"](spark, str(tmp_path)).collect()}
+    assert found == {0: 0, 39: 1, 40: 2, 41: 3, 80: 4, 200: 5, 5: 0, 81: 0, 300: 1}
+
+
 def test_a_circle_of_waits_is_refused(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "blocker long, waiter long")
     with pytest.raises(ValueError):

@@ -40,10 +40,11 @@ def waits(requests: DataFrame) -> DataFrame:
     return holders(requests).groupBy("txn_id").agg(F.count(F.lit(1)).alias("n_locks"), F.count_if(~F.col("granted")).alias("n_waiting")).withColumn("ready", F.col("n_waiting") == 0)
 
 
-def levels(edges: DataFrame, most: int = 1000, nodes: DataFrame | None = None) -> DataFrame:
+def levels(edges: DataFrame, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """node -> level: the longest way to it from a node that waits for none; nodes of a level can run together.
 
-    nodes: all there are; without it those that have an edge.
+    nodes: all there are; without it those that have an edge. most: rounds allowed; without it as many as there are
+    nodes, which only a circle exceeds.
 
     Each round raises the waiters of the nodes that the last one raised, so it has as many rounds as the longest chain;
     results of a round are cut off into the checkpoint folder.
@@ -52,7 +53,7 @@ def levels(edges: DataFrame, most: int = 1000, nodes: DataFrame | None = None) -
         nodes = edges.select(F.col("blocker").alias("node")).unionByName(edges.select(F.col("waiter").alias("node"))).distinct()
     level = nodes.withColumn("level", F.lit(0).cast("long")).checkpoint()
     front = level
-    for _ in range(most):
+    for _ in range(max(1, level.count()) if most is None else most):
         raised = front.join(edges, front["node"] == edges["blocker"]).groupBy("waiter").agg((F.max("level") + 1).alias("raised"))
         both = level.join(raised, level["node"] == raised["waiter"], "left")
         following = both.select("node", F.greatest("level", F.coalesce("raised", F.lit(0).cast("long"))).alias("level"), (F.coalesce("raised", F.lit(0)) > F.col("level")).alias("moved")).checkpoint()

@@ -211,3 +211,13 @@ def exec_level(spark, d):
     rows = requests(spark, d)
     edges = L.wait_edges(rows).where(F.floor(F.col("blocker") / BATCH) == F.floor(F.col("waiter") / BATCH)).checkpoint()
     return L.levels(edges, nodes=rows.select(F.col("pos").alias("node")).distinct())
+
+
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT pos AS node, 0 AS level FROM req UNION SELECT waiter, level + 1 FROM w JOIN edge ON blocker = node)
+SELECT node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
+def exec_level_log(spark, d):
+    """Which transactions of the whole log can run together: each as soon as all that it waits for are done, however
+    far back they stand. No batch barrier, unlike exec_level, so it has as many rounds as the log's longest chain."""
+    shared.shared_folder(spark, "levels")  # where the rounds' checkpoints go
+    rows = requests(spark, d)
+    return L.levels(L.wait_edges(rows).checkpoint(), nodes=rows.select(F.col("pos").alias("node")).distinct())
