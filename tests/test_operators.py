@@ -111,6 +111,14 @@ def test_levels_of_the_log_follow_waits_across_batches(spark, tmp_path):
     assert found == {0: 0, 39: 1, 40: 2, 41: 3, 80: 4, 200: 5, 5: 0, 81: 0, 300: 1}
 
 
+def test_a_waiting_head_blocks_its_whole_home(spark, tmp_path):
+    # keys 1 to 3 are of home 0, key 4 of home 1; key 2 waits
+    spark.createDataFrame([(5, 1, "N"), (5, 2, "N"), (6, 3, "N"), (7, 4, "N"), (100, 1, "N"), (950, 1, "R")], "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r.txn_id, r.key): (r.verdict, r.blocked) for r in registry.QUERIES["remaster_hol_home"](spark, str(tmp_path)).collect()}
+    assert found[5, 2][0] == "WAIT" and {k for k, v in found.items() if v[1]} == {(6, 3), (100, 1), (950, 1)}
+
+
 def test_a_circle_of_waits_is_refused(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "blocker long, waiter long")
     with pytest.raises(ValueError):

@@ -81,6 +81,13 @@ def behind(rows: DataFrame, queue: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("blocked", F.coalesce(F.max(F.col("verdict") == "WAIT").over(before), F.lit(False)))
 
 
+def behind_first(rows: DataFrame, queue: list[str], order: list[str]) -> DataFrame:
+    """As behind(), for few and long queues: the first that waits is a partial aggregate, so no queue is sorted."""
+    first = rows.where(F.col("verdict") == "WAIT").groupBy(*queue).agg(F.min(F.struct(*order)).alias("first_wait"))
+    blocked = F.coalesce(F.struct(*order) > F.col("first_wait"), F.lit(False))
+    return rows.join(F.broadcast(first), queue, "left").withColumn("blocked", blocked).drop("first_wait")
+
+
 def master_at(accesses: DataFrame, start: Column) -> DataFrame:
     """The master of each key as of each place in the log: what the last move before it made it, at first ``start``."""
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -174,6 +174,13 @@ def remaster_hol_block(spark, d):
     return L.behind(rows, ["window", "master"], ["txn_id", "key"]).select("txn_id", "key", "verdict", "blocked")
 
 
+@query(f"""WITH {_VERIFY}, q AS (SELECT *, coalesce(bool_or(verdict = 'WAIT') OVER (PARTITION BY master ORDER BY txn_id, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM v)
+SELECT txn_id, key, verdict, blocked FROM q""")
+def remaster_hol_home(spark, d):
+    """One queue a home, as long as the log; whoever waits at its head blocks all behind."""
+    return L.behind_first(_verified(spark, d), ["master"], ["txn_id", "key"]).select("txn_id", "key", "verdict", "blocked")
+
+
 @query(f"""WITH {_VERIFY}, q AS (SELECT *, coalesce(bool_or(verdict = 'WAIT') OVER (PARTITION BY key ORDER BY txn_counter, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM v)
 SELECT txn_id, key, verdict, blocked FROM q""")
 def remaster_perkey(spark, d):
