@@ -87,6 +87,12 @@ def test_wide_cells_are_split(spark, monkeypatch):
     assert all(r.near <= home[r.node] for r in rows)
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_links_of_few_vectors_count_once(spark, n):
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(n)] + [(9, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert {r.vec_id: r.n_links for r in flatgraph.near_duplicates(df).collect()} == {**dict.fromkeys(range(n), n - 1), 9: 0}
+
+
 def test_graph_of_no_vectors(spark):
     assert flatgraph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

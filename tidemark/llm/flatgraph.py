@@ -169,7 +169,8 @@ def search(x: np.ndarray, adjacent: np.ndarray, starts: np.ndarray, queries: np.
         q64 = queries[at : at + QUERIES_AT_ONCE]
         q, rows = q64.astype(np.float32), np.arange(len(q64))
         seen = np.zeros((len(q), n), bool)
-        ids = starts[at : at + QUERIES_AT_ONCE]
+        ids = np.sort(starts[at : at + QUERIES_AT_ONCE], axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1  # a start counts once
         near = np.where(ids >= 0, np.einsum("qd,qkd->qk", q, small[ids]), -9).astype(np.float32)
         r, k = np.nonzero(ids >= 0)
         seen[r, ids[r, k]] = True
@@ -396,7 +397,7 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         counts.append(found.where("kind = 0").select("node", "links"))
         edges.append(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
         # one search of a query in a cell, however many of its cells led there
-        seen = found.where("kind = 2").groupBy("node", "cell").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
+        seen = found.where("kind = 2").groupBy("node", "cell").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"))
         were = found.where("kind = 2").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("visited"))).alias("visited"))
         ask = cut(seen.join(were, "node").join(vectors, "node").select("cell", "node", "embedding", F.slice("seeds", 1, SEEDS).alias("seeds"), "visited"))
         if ask.isEmpty():
