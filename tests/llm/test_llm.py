@@ -93,6 +93,31 @@ def test_links_of_few_vectors_count_once(spark, n):
     assert {r.vec_id: r.n_links for r in flatgraph.near_duplicates(df).collect()} == {**dict.fromkeys(range(n), n - 1), 9: 0}
 
 
+def test_a_low_recall_at_many_cells_is_searched_again(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "CELL", 10)
+    monkeypatch.setattr(flatgraph, "PER_CELL", 4)
+    monkeypatch.setattr(flatgraph, "OVERLAP", 1)  # no cell shares a member with another
+    x = np.random.default_rng(8).normal(size=(600, 6)).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    degree = (u @ u.T >= 0.9).sum(1) - 1
+    rows = flatgraph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    have = np.array([r.n_links for r in sorted(rows, key=lambda r: r.vec_id)])
+    assert (have <= degree).all() and have.sum() >= flatgraph.LEAST_RECALL * degree.sum()
+    assert (have[degree > 0] / degree[degree > 0]).mean() >= flatgraph.LEAST_RECALL
+    monkeypatch.setattr(flatgraph, "MOST_OVERLAP", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        flatgraph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+
+
+def test_audit_refuses_too_many_links_and_averages_queries(spark):
+    rows = [([1.0, 0.001 * i], 1, 9) for i in range(10)] + [([0.0, 1.0], 2, 1), ([-1.0, 0.0], 1, 0), ([-1.0, 0.01], 1, 0)]
+    schema = "embedding array<float>, copies long, n_links long"
+    assert flatgraph.audit(spark.createDataFrame(rows, schema)) == pytest.approx(11 / 13)
+    assert flatgraph.audit(spark.createDataFrame(rows[-2:-1], schema)) is None
+    with pytest.raises(RuntimeError, match="more links"):
+        flatgraph.audit(spark.createDataFrame([*rows, ([0.0, -1.0], 1, 1)], schema))
+
+
 def test_graph_of_no_vectors(spark):
     assert flatgraph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -12,7 +12,10 @@ The search is on that united graph, a cell at a time: from the medoid greedily t
 whatever is within ``SLACK`` of the threshold. Cells meet in their shared members: a query that finds a vector whose
 home it has not searched goes on there from that vector, round after round, until no query moves. A found vector counts
 in its home cell alone, so none counts twice. Every link is verified in double precision. Tasks return counts and a
-spanning forest of their links, not pairs. ``audit`` holds the counts against brute force for a bounded set of queries.
+spanning forest of their links, not pairs.
+
+``audit`` holds the counts against brute force for a bounded set of queries. Below ``LEAST_RECALL`` everything is searched
+again on cells that overlap twice as much; where ``MOST_OVERLAP`` isn't enough either, the query fails.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths never link; equal vectors link; a null vec_id is never a component's
@@ -44,7 +47,9 @@ MOST = 3 * DEGREE  # edges of a vector within a cell, reverse ones included
 BEAM, STEPS, ENTRIES, SLACK = 32, 80, 4, 0.1
 SEEDS = 16  # vectors from which a query goes on in another cell
 ROUNDS = 20
-AUDITED = 200
+AUDITED = 2000  # of all vectors, and of those that have links
+LEAST_RECALL, MOST_OVERLAP = 0.95, 48
+CLOSE = 1e-9  # products so close to the threshold are links or not, as rounding has it
 QUERIES_AT_ONCE = 128
 
 
@@ -220,7 +225,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, starts: np.ndarray, queries: np.
         yield at + fq[exact >= threshold], fv[exact >= threshold]
 
 
-def place(nodes: DataFrame, middle: np.ndarray) -> DataFrame:
+def place(nodes: DataFrame, middle: np.ndarray, overlap: int = OVERLAP) -> DataFrame:
     """A row for each node and each of its cells, how near its centre is; cells: all of them, the home first."""
     shared = nodes.sparkSession.sparkContext.broadcast(middle)
     kind = nodes.schema["embedding"].dataType.simpleString()
@@ -230,7 +235,7 @@ def place(nodes: DataFrame, middle: np.ndarray) -> DataFrame:
         for batch in batches:
             x = matrix(batch.column("embedding"))
             close = x.astype(np.float32) @ c.T
-            near = np.argsort(-close, axis=1, kind="stable")[:, :OVERLAP]
+            near = np.argsort(-close, axis=1, kind="stable")[:, :overlap]
             n, k = near.shape
             close = np.take_along_axis(close, near, 1)
             take = pa.array(np.repeat(np.arange(n), k))
@@ -250,27 +255,31 @@ def part_centres(key: tuple, drawn: pa.Table) -> pa.Table:
     return pa.table([[key[0].as_py()] * n, pa.array(range(n), pa.int32()), pa.array(middle.tolist(), pa.list_(pa.float32()))], names=["cell", "part", "centre"])
 
 
-def nearest_parts(members: pa.Table, middles: pa.Table) -> pa.Table:
-    """node, cell, near: the OVERLAP nearest parts of a wide cell for some of its members."""
-    schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("near", pa.float32())])
-    if not members.num_rows:
-        return schema.empty_table()
-    cell = members["cell"][0].as_py()
-    if not middles.num_rows:
-        return pa.table([members["node"], [cell * FAN] * len(members), members["near"]], schema=schema)
-    middles = middles.sort_by("part")
-    close = matrix(members["embedding"]).astype(np.float32) @ np.array(middles["centre"].to_pylist(), np.float32).T
-    best = np.argsort(-close, axis=1, kind="stable")[:, :OVERLAP]
-    return pa.table([np.repeat(members["node"].to_numpy(), best.shape[1]), cell * FAN + best.ravel(), np.take_along_axis(close, best, 1).ravel()], schema=schema)
+def nearest_parts(overlap: int):
+    """node, cell, near: the ``overlap`` nearest parts of a wide cell for some of its members."""
+
+    def nearest(members: pa.Table, middles: pa.Table) -> pa.Table:
+        schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("near", pa.float32())])
+        if not members.num_rows:
+            return schema.empty_table()
+        cell = members["cell"][0].as_py()
+        if not middles.num_rows:
+            return pa.table([members["node"], [cell * FAN] * len(members), members["near"]], schema=schema)
+        middles = middles.sort_by("part")
+        close = matrix(members["embedding"]).astype(np.float32) @ np.array(middles["centre"].to_pylist(), np.float32).T
+        best = np.argsort(-close, axis=1, kind="stable")[:, :overlap]
+        return pa.table([np.repeat(members["node"].to_numpy(), best.shape[1]), cell * FAN + best.ravel(), np.take_along_axis(close, best, 1).ravel()], schema=schema)
 
+    return nearest
 
-def split_wide(placed: DataFrame, nodes: DataFrame) -> DataFrame | None:
+
+def split_wide(placed: DataFrame, nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame | None:
     """``placed`` anew with every wide cell split; None if there is none. Cell c becomes FAN * c and what follows."""
-    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDEST * CELL))
+    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, overlap / OVERLAP) * WIDEST * CELL))
     n_wide = sizes.count()
     if not n_wide:
         return None
-    parts = F.least(F.lit(FAN), F.ceil(F.col("n") / (OVERLAP * CELL))).cast("int")
+    parts = F.least(F.lit(FAN), F.ceil(F.col("n") / (overlap * CELL))).cast("int")
     wide = sizes.select("cell", "n", parts.alias("parts"), F.ceil(F.col("n") / DEALT).cast("int").alias("deals"))
     marked = placed.join(F.broadcast(wide) if n_wide <= FEW_CELLS else wide, "cell", "left")
     mine = marked.where("parts is not null")
@@ -278,10 +287,10 @@ def split_wide(placed: DataFrame, nodes: DataFrame) -> DataFrame | None:
     middles = cut(drawn.groupBy("cell").applyInArrow(part_centres, "cell long, part int, centre array<float>"))
     every = middles.join(wide, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "part", "centre")
     dealt = mine.select("cell", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("deals")).cast("int").alias("deal"), "node", "near", "embedding")
-    split = dealt.groupBy("cell", "deal").cogroup(every.groupBy("cell", "deal")).applyInArrow(nearest_parts, "node long, cell long, near float")
+    split = dealt.groupBy("cell", "deal").cogroup(every.groupBy("cell", "deal")).applyInArrow(nearest_parts(overlap), "node long, cell long, near float")
     as_it_was = marked.where("parts is null").select("node", (F.col("cell") * FAN).alias("cell"), "near")
-    # at most OVERLAP parts of each of OVERLAP cells
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("near", "cell")))), 1, OVERLAP)
+    # at most ``overlap`` parts of each of as many cells
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("near", "cell")))), 1, overlap)
     chosen = split.unionByName(as_it_was).groupBy("node").agg(best.alias("best"))
     rows = chosen.select("node", F.col("best.cell").alias("cells"), F.explode("best").alias("b")).select("node", "b.cell", "b.near", "cells")
     return cut(rows.join(nodes.select("node", "copies", "embedding"), "node"))
@@ -370,7 +379,7 @@ def search_cell(threshold: float):
     return cell
 
 
-def link(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def link(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (a, b) of a forest of the links, for distinct vectors of one length."""
     spark = nodes.sparkSession
     total = nodes.count()
@@ -382,9 +391,9 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     n_cells = max(1, min(-(-total // CELL), drawn.num_rows // PER_CELL))
     middle = centres(matrix(drawn["embedding"]).astype(np.float32), n_cells) if drawn.num_rows else np.zeros((1, width), np.float32)
     arrow_rows(spark, 2000)
-    placed = cut(place(nodes, middle))
+    placed = cut(place(nodes, middle, overlap))
     for _ in range(LEVELS):
-        again = split_wide(placed, nodes)
+        again = split_wide(placed, nodes, overlap)
         if again is None:
             break
         placed = again
@@ -413,63 +422,91 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     return links.groupBy("node").agg(F.sum("links").alias("links")), forest
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> float:
-    """Part of the links of a bounded set of queries, drawn by hash, that ``found`` (vec_id, n_links) has; 1 without any."""
-    spark = vectors.sparkSession
-    good = vectors.where(valid(F.col("embedding")))
-    total = good.count()
-    share = min(1.0, queries / max(1, total))
-    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * queries).select("vec_id", "embedding").toArrow()
-    if not drawn.num_rows:
-        return 1.0
-    lengths = {}
-    for i, v in zip(drawn["vec_id"].to_pylist(), drawn["embedding"].to_pylist()):
-        lengths.setdefault(len(v), []).append((i, v))
-    shared = spark.sparkContext.broadcast({k: ([i for i, _ in rows], matrix(pa.array([v for _, v in rows]))) for k, rows in lengths.items()})
+def audit(named: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> float | None:
+    """Part of the links that was found: distinct vectors with their copies and n_links, held against brute force.
+
+    Queries are drawn by hash, of all vectors and once more of those with links; of either draw, links are taken together
+    and as an average a query, and the lowest of these figures counts. None if no query has a link. Too many links raise.
+    """
+    spark = named.sparkSession
+    total, linked, width = named.agg(F.count(F.lit(1)), F.count_if(F.col("n_links") > 0), F.max(F.size("embedding"))).first()
+    draws = []
+    for rows, n in ((named, total), (named.where("n_links > 0"), linked)):
+        if n:
+            most = min(queries, max(1, SAMPLE_BYTES // (8 * max(1, width))))
+            by_hash = F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) <= int(min(1.0, most / n) * (1 << 20))
+            draws.append(rows.where(by_hash).limit(2 * most).select("embedding", "n_links").toArrow())
+    if not draws:
+        return None
+    drawn = pa.concat_tables(draws).combine_chunks()
+    lengths = drawn["embedding"].combine_chunks().value_lengths().to_numpy()
+    by_length = {int(k): np.nonzero(lengths == k)[0] for k in np.unique(lengths)}
+    shared = spark.sparkContext.broadcast({k: (ids, matrix(drawn["embedding"].take(pa.array(ids)))) for k, ids in by_length.items()})
 
     def count(batches):
-        sums: dict = {}
+        sure, most = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for batch in batches:
-            by_length: dict[int, list] = {}
-            for v in batch.column("embedding").to_pylist():
-                by_length.setdefault(len(v), []).append(v)
-            for k, rows in by_length.items():
-                if k in shared.value:
-                    ids, q = shared.value[k]
-                    hits = (q @ matrix(pa.array(rows)).T >= threshold).sum(axis=1)
-                    for i, h in zip(ids, hits):
-                        sums[i] = sums.get(i, 0) + int(h)
-        if sums:
-            yield pa.record_batch([pa.array(list(sums)), pa.array(list(sums.values()), pa.int64())], names=["vec_id", "n"])
-
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    truth = good.select("embedding").mapInArrow(count, f"vec_id {kind}, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    have, want = truth.join(found.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), "vec_id").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
-    return have / want if want else 1.0
+            of = batch.column("embedding").value_lengths().to_numpy()
+            for k in np.unique(of):
+                if int(k) in shared.value:
+                    ids, q = shared.value[int(k)]
+                    some = pa.array(np.nonzero(of == k)[0])
+                    copies = batch.column("copies").take(some).to_numpy()
+                    cosine = q @ matrix(batch.column("embedding").take(some)).T
+                    sure[ids] += (cosine >= threshold + CLOSE) @ copies
+                    most[ids] += (cosine >= threshold - CLOSE) @ copies
+        yield pa.record_batch([pa.array(range(len(sure)), pa.int64()), pa.array(sure), pa.array(most)], names=["i", "sure", "most"])
+
+    truth = named.select("embedding", "copies").mapInArrow(count, "i long, sure long, most long").groupBy("i").agg(F.sum("sure").alias("sure"), F.sum("most").alias("most"))
+    truth = truth.toArrow().sort_by("i")
+    sure, most, have = truth["sure"].to_numpy() - 1, truth["most"].to_numpy() - 1, drawn["n_links"].to_numpy()
+    if (have > most).any():
+        raise RuntimeError(f"flatgraph: {(have > most).sum()} of {len(have)} audited vectors have more links than there are")
+    figures, at = [], 0
+    for draw in draws:
+        has, want = have[at : at + draw.num_rows], sure[at : at + draw.num_rows]
+        at += draw.num_rows
+        has, want = np.minimum(has, want)[want > 0], want[want > 0]
+        if len(want):
+            figures += [has.sum() / want.sum(), (has / want).mean()]
+    return float(min(figures)) if figures else None
+
+
+def joined_links(nodes: DataFrame, lengths: list[int], threshold: float, overlap: int) -> DataFrame:
+    """Distinct vectors with copies, n_links and component_id."""
+    parts = [link(nodes.where(F.size("embedding") == n), threshold, overlap) for n in sorted(lengths)]
+    if not parts:
+        return nodes.select("embedding", "copies", F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component_id"))
+    links, forest = parts[0]
+    for more_links, more in parts[1:]:
+        links, forest = links.unionByName(more_links), forest.unionByName(more)
+    joined = cut(nodes.join(links, "node", "left").join(components(forest), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = cut(joined.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return cut(joined.join(first, "component").select("embedding", "copies", n_links.alias("n_links"), "component_id"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row, and the audited recall."""
+    """vec_id, n_links, component_id, kept of every row, and the audited recall (null if no audited vector has a link)."""
     rows = vectors.select("vec_id", "embedding").withColumn("ok", valid(F.col("embedding")))
     good = rows.where("ok")
     nodes = cut(
         good.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     )
     lengths = [r[0] for r in nodes.select(F.size("embedding").alias("n")).distinct().collect()]
-    parts = [link(nodes.where(F.size("embedding") == n), threshold) for n in sorted(lengths)]
-    named = nodes.select("embedding", "copies", "first_id", F.lit(0).cast("long").alias("links"), F.col("first_id").alias("component_id"))
-    if parts:
-        links, forest = parts[0]
-        for more_links, more in parts[1:]:
-            links, forest = links.unionByName(more_links), forest.unionByName(more)
-        joined = cut(nodes.join(links, "node", "left").join(components(forest), "node", "left").withColumn("component", F.coalesce("component", "node")))
-        first = cut(joined.groupBy("component").agg(F.min("first_id").alias("component_id")))
-        named = cut(joined.join(first, "component").select("embedding", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), "component_id"))
-    found = good.join(named, "embedding").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    overlap = OVERLAP
+    while True:
+        named = joined_links(nodes, lengths, threshold, overlap)
+        recall = audit(named, threshold)
+        if recall is None or recall >= LEAST_RECALL:
+            break
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"flatgraph: audited recall is {recall:.3f} with {overlap} cells a vector")
+        overlap *= 2
+    found = good.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = cut(found.unionByName(alone))
-    recall = audit(vectors.select("vec_id", "embedding"), out, threshold)
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audited_recall"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))
 
 
 def op1_flatgraph(spark, sf_dir) -> DataFrame:
