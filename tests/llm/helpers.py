@@ -28,7 +28,10 @@ def clashing(df):
     from pyspark.sql import functions as F
 
     out = df
-    for name in ("score", "size", "words", "fp", "component_id", "label", "held_out", "target", "taken", "hashes", "key"):
+    for name in (
+        "score", "size", "words", "fp", "component_id", "label", "held_out", "target", "taken", "hashes", "key", "row", "src", "tie", "id", "held", "block", "body", "n", "h", "wave", "Wave_1", "again",
+        "copies", "times", "stay_id", "stay_n", "__mix_size", "__toxicity", "__quality", "__wave", "__sim_id", "__sim_row", "a.b",
+    ):
         out = out.withColumn(name, F.lit("x"))
     return out
 

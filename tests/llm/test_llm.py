@@ -104,9 +104,25 @@ def test_a_low_recall_at_many_cells_is_searched_again(spark, monkeypatch):
     have = np.array([r.n_links for r in sorted(rows, key=lambda r: r.vec_id)])
     assert (have <= degree).all() and have.sum() >= flatgraph.LEAST_RECALL * degree.sum()
     assert (have[degree > 0] / degree[degree > 0]).mean() >= flatgraph.LEAST_RECALL
+    # where more overlap isn't allowed, all is compared with all
     monkeypatch.setattr(flatgraph, "MOST_OVERLAP", 1)
-    with pytest.raises(RuntimeError, match="recall"):
-        flatgraph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    monkeypatch.setattr(flatgraph, "SAMPLE_BYTES", 40_000)
+    rows = flatgraph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    assert [r.n_links for r in sorted(rows, key=lambda r: r.vec_id)] == degree.tolist()
+    label = components.local_labels(len(x), *np.nonzero(u @ u.T >= 0.9))
+    assert {r.vec_id: r.component_id for r in rows} == dict(enumerate(label.tolist()))
+
+
+def test_queries_move_on_around_a_whole_circle(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "CELL", 5)
+    monkeypatch.setattr(flatgraph, "PER_CELL", 4)
+    monkeypatch.setattr(flatgraph, "ASKED", 7)  # asks of a cell are dealt
+    n = 150
+    turn = np.arange(n) * 2 * np.pi / n
+    rows = flatgraph.near_duplicates(spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)], "vec_id long, embedding array<float>")).collect()
+    each = 2 * int(np.arccos(0.9) / (2 * np.pi / n))
+    have = [r.n_links for r in rows]
+    assert max(have) <= each and sum(have) >= flatgraph.LEAST_RECALL * n * each and {r.component_id for r in rows} == {0}
 
 
 def test_audit_refuses_too_many_links_and_averages_queries(spark):
@@ -164,14 +180,33 @@ def test_toxic_words_and_their_misspellings_are_found():
     assert rude > calm
 
 
-def test_toxicity_of_a_long_text_does_not_depend_on_pieces(monkeypatch):
-    data = labelled(60)
-    model = toxicity.train(Sample([t for t, _ in data], [y for _, y in data], 1 / 3))
-    texts = [b"", b"  \n", b"x" * 5000, data[0][0], data[1][0]]
-    whole = toxicity.score(texts, model)
-    assert np.isfinite(whole).all()
-    alone = np.array([toxicity.score([t], model)[0] for t in texts])
-    assert np.allclose(whole, alone)
+def naive_toxicity(text, model):
+    """One n-gram after the other of each window of three words, by the plain rule."""
+    best, w = None, [b" " + x + b" " for x in text.split()]
+    for k in range(0, len(w), toxicity.WINDOW):
+        values = []
+        for x in w[k : k + toxicity.WINDOW]:
+            x = x.lower()
+            for n in toxicity.GRAMS:
+                for i in range(len(x) - n + 1):
+                    h = x[i]
+                    for c in x[i + 1 : i + n]:
+                        h = (h * 0x01000193 + c) % 2**32
+                    values.append(model.table[(h + n) * 2654435769 % 2**32 >> 32 - toxicity.BITS])
+        if values:
+            z = np.sum(values, dtype=np.float64) / len(values) + model.bias
+            best = z if best is None else max(best, z)
+    return model.empty if best is None else best
+
+
+def test_toxicity_is_that_of_the_naive_scorer_whatever_the_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.5, -2.0)
+    texts = [b"", b"  \n", b"x", b"ab cd", b"x" * 3000, b"One two\tTHREE\n\nfour  five", *(t for t, _ in labelled(12)), prose(5, 800).encode(), b" " * 700 + b"a word" + b" " * 700 + b"z" * 900 + b" end of it"]
+    wanted = [naive_toxicity(t, model) for t in texts]
+    for piece in (64, 512, 1 << 17):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(toxicity.score(texts, model), wanted, atol=1e-4), piece
 
 
 def junk(i):
@@ -216,6 +251,33 @@ def test_network_reads_a_long_text_in_pieces_as_a_whole(monkeypatch):
     assert np.allclose(whole, quality_cnn.score(texts, net), atol=1e-5)
 
 
+def test_network_is_the_naive_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    q = quality_cnn
+    net = {
+        "embed": rng.normal(0, 0.5, (256, q.EMBED)), "filters": rng.normal(0, 0.3, (q.TAPS, q.STRIDE * q.EMBED, q.FILTERS)), "bias": rng.normal(0, 0.1, q.FILTERS),
+        "w1": rng.normal(0, 0.1, (2 * q.FILTERS + 1, q.HIDDEN)), "b1": rng.normal(size=q.HIDDEN), "w2": rng.normal(0, 0.3, q.HIDDEN), "b2": np.array(0.3), "shift": 0.1,
+    }
+
+    def naive(text):
+        halves = max(1, -(-len(text) // q.HALF))
+        data = text + b"\0" * (halves * q.HALF + q.CONTEXT - len(text))
+        pooled = []
+        for k in range(halves):
+            places = []
+            for at in range(k * q.HALF, (k + 1) * q.HALF, q.STRIDE):
+                places.append(sum(net["embed"][data[at + t * q.STRIDE + j]] @ net["filters"][t][j * q.EMBED : (j + 1) * q.EMBED] for t in range(q.TAPS) for j in range(q.STRIDE)))
+            pooled.append(np.maximum(np.max(places, axis=0) + net["bias"], 0))
+        chunks = [np.maximum(a, b) for a, b in zip(pooled, pooled[1:])] or pooled
+        x = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), [np.log1p(len(text)) / 10]])
+        return float(np.tanh(x @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"] + net["shift"])
+
+    texts = [b"", b"a", prose(1, 9).encode(), prose(2, 60).encode(), "Übung 日本".encode(), prose(3, 150).encode()]
+    for piece in (512, 1 << 16):
+        monkeypatch.setattr(q, "PIECE", piece)
+        assert np.allclose(q.score(texts, net), [naive(t) for t in texts], atol=1e-4)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_cnn])
 def test_classifiers_on_awkward_rows(module, spark):
     docs = clashing(documents(spark))
@@ -233,58 +295,101 @@ def test_classifiers_on_awkward_rows(module, spark):
 
 
 def brute_katz(docs):
-    tokens = [(i, [w for w in (text or "").encode().lower().split()] + [None], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, text in docs]
-    one, two, ctx = Counter(), Counter(), Counter()
+    """The model as its module describes it, by dictionaries; probabilities of a word by order and history."""
+    split = lambda t: (t or "").encode().lower().split()
+    tokens = [(i, [*split(text), None], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, text in docs]
+    grams = {n: Counter() for n in (1, 2, 3)}
     for _, w, held in tokens:
         if not held:
-            one.update(w)
-            two.update(zip([START, *w[:-1]], w))
-            ctx.update([START, *w[:-1]])
-    n, v = sum(one.values()), len(one)
-    of = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(of(one)), katz.discounts(of(two))
-    d = lambda t, c: t[c] if c <= katz.K else 1.0
-    freed = sum((1 - d1[r]) * r * m for r, m in zip(range(1, katz.K + 1), of(one)))
-    below = n + (not freed)
-    unknown = (freed or 1) / below if n else 1.0
-    p1 = lambda w: d(d1, one[w]) * one[w] / below if one[w] else unknown
-    follow = defaultdict(list)
-    for (h, w), c in two.items():
-        follow[h].append((w, c))
-    under = {h: ctx[h] + all(c > katz.K for _, c in f) for h, f in follow.items()}
-    alpha = {h: (1 - sum(d(d2, c) * c for _, c in f) / under[h]) / max(1 - sum(p1(w) for w, _ in f), 1e-12) for h, f in follow.items()}
-    p2 = lambda h, w: d(d2, two[h, w]) * two[h, w] / under[h] if two[h, w] else alpha.get(h, 1.0) * p1(w)
-    out = Counter()
+            padded = [START, START, *w]
+            for n in grams:
+                grams[n].update(tuple(padded[i + 3 - n : i + 3]) for i in range(len(w)))
+    total, v = sum(grams[1].values()), len(grams[1])
+    d = {n: katz.discounts([sum(c == r for c in grams[n].values()) for r in range(1, katz.K + 2)]) for n in grams}
+    less = lambda n, c: c * (d[n][c] if c <= katz.K else 1.0)
+    freed = sum(c - less(1, c) for c in grams[1].values())
+    below = total + (not freed)
+    seen = {n: defaultdict(dict) for n in (2, 3)}
+    for n in seen:
+        for g, c in grams[n].items():
+            seen[n][g[:-1]][g[-1]] = c
+    pairs = np.ones((257, 257))
+    for (w,), c in grams[1].items():
+        if c == 1 and w is not None:
+            for x, y in zip([256, *w], [*w, 256]):
+                pairs[x, y] += 1
+    pairs /= pairs.sum(axis=1, keepdims=True)
+
+    def p(n, history, w):
+        if n == 1:
+            if grams[1][w,]:
+                return less(1, grams[1][w,]) / below
+            return ((freed or 1) / below if total else 1.0) * math.prod(pairs[x, y] for x, y in zip([256, *(w or b"")], [*(w or b""), 256]))
+        f = seen[n].get(history)
+        if f is None:
+            return p(n - 1, history[1:], w)
+        if (n, history) not in kept:
+            used = sum(less(n, c) for c in f.values())
+            under = sum(f.values()) + (used >= sum(f.values()))
+            kept[n, history] = under, (1 - used / under) / (1 - sum(p(n - 1, history[1:], x) for x in f))
+        under, alpha = kept[n, history]
+        return less(n, f[w]) / under if w in f else alpha * p(n - 1, history[1:], w)
+
+    kept, out = {}, []
     for i, w, held in tokens:
-        score = sum(math.log10(p2(h, x)) for h, x in zip([START, *w[:-1]], w))
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        out[i, held, len(w), sum(one[x] > 0 for x in w), n, round(base, 3), round(score, 3)] += 1
-    for h in list(follow)[:20]:
-        assert sum(p2(h, w) for w in one) + alpha[h] * unknown == pytest.approx(1)
+        padded = [START, START, *w]
+        score = sum(math.log10(p(3, tuple(padded[k : k + 2]), x)) for k, x in enumerate(w))
+        base = sum(math.log10((grams[1][x,] + 1) / (total + v + 1)) for x in w)
+        out.append((i, held, len(w), sum(grams[1][x,] > 0 for x in w), total, base, score))
+    for n in seen:
+        for h in list(seen[n])[:15]:
+            # known words, and whatever is spelled otherwise
+            assert sum(p(n, h, w) for w, in grams[1]) + kept[n, h][1] * (1 if n == 2 else kept[2, h[1:]][1]) * (freed or 1) / below == pytest.approx(1)
     return out
 
 
 START = ("start",)
 
 
-@pytest.mark.parametrize("bucket", [2_500_000, 300])
-def test_katz_is_the_brute_force_model(bucket, spark, monkeypatch):
+def katz_rows(rows):
+    return sorted(rows, key=lambda r: tuple(map(str, r[:5])) + (round(r[6], 4),))
+
+
+@pytest.mark.parametrize("bucket, block", [(2_000_000, 1_000_000), (300, 2000)])
+def test_katz_is_the_brute_force_model(bucket, block, spark, monkeypatch):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket)
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
-    # pairs that alone would fill a bucket, and frequent words in new company
-    often = spark.createDataFrame([(3000 + i, "of the " * 900 + f"new{i} the end{i}", "en", "s0", 1) for i in range(12)], SCHEMA)
-    docs = clashing(documents(spark).unionByName(often))
-    found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in katz.language_model(docs).collect())
-    wanted = brute_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    key = lambda c: sorted(((str(k[0]), *k[1:5], k[5], k[6]), n) for k, n in c.items())
-    for (a, n), (b, m) in zip(key(found), key(wanted), strict=True):
-        assert n == m and a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=0.02)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    # n-grams that alone would fill a bucket, frequent words in new company, unseen words, and many starts
+    often = [(3000 + i, "of the " * 900 + f"new{i} the end{i} of of new{i % 3} the", "en", "s0", 1) for i in range(12)]
+    short = [(4000 + i, "same start", "en", "s0", 1) for i in range(300)]
+    docs = clashing(documents(spark).unionByName(spark.createDataFrame([*often, *short], SCHEMA)))
+    found = katz_rows(tuple(r) for r in katz.language_model(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
+    wanted = katz_rows(brute_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+    for a, b in zip(found, wanted, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-6)
+
+
+def test_katz_takes_ids_of_any_type_and_leaves_no_setting(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    docs = spark.createDataFrame([("a", "some words"), ("b", None), (None, "some words more"), ("b", "x" * 2_000_000)], "doc_id string, text string")
+    found = {(r.doc_id, r.n_tokens) for r in katz.language_model(docs).collect()}
+    assert found == {("a", 3), ("b", 1), (None, 4), ("b", 2)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_gibberish_is_less_likely_than_prose(spark):
+    rng = random.Random(4)
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12))) for _ in range(200))
+    new = next(i for i in range(9_000_000, 9_000_100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(new, gibberish)], "doc_id long, text string"))
+    held = {r.doc_id: r.score / r.n_tokens for r in katz.language_model(docs).where("held_out and n_tokens > 20").collect()}
+    assert held.pop(new) < np.percentile(list(held.values()), 1)
 
 
 def test_katz_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = katz.language_model(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == pytest.approx(-12 * math.log10(257))
     assert katz.language_model(empty(spark)).count() == 0
 
 
@@ -307,6 +412,34 @@ def test_shards_keep_every_row_through_compaction(spark, tmp_path):
     assert sum(e["rows"] for e in store.entries()) == 5 * docs.count()
 
 
+def test_tiers_are_merged_upon_tiers(spark, tmp_path):
+    docs = clashing(spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("text")))
+    store, log = sharding.ShardStore(spark, str(tmp_path / "s"), target=400_000, smallest=4_000), []
+
+    def settle():
+        before = store.entries()
+        for run in store.plan(before):
+            assert len(run) >= store.fan_in and len({e["tier"] for e in run}) == 1 and all(e["bytes"] < store.target / 2 for e in run)
+        store.settle()
+        after = store.entries()
+        log.append((before, after))
+        assert not store.plan(after) and store.versions() == [store.latest()]
+        counts = Counter(e["tier"] for e in after if e["bytes"] < store.target / 2)
+        assert all(n < store.fan_in for n in counts.values())
+        assert all(e["tier"] == sharding.tier(e["bytes"], 4_000) for e in after)
+
+    store.append_waves(docs.repartition(3), F.pmod("doc_id", F.lit(8)), settle)
+    assert len(log) == 8 and store.read().exceptAll(docs).count() == 0 and store.read().count() == 4000
+    assert [sum(e["rows"] for e in after) for _, after in log] == [sum(1 for i in range(4000) if i % 8 <= k) for k in range(8)]
+    # files of a merge have been merged again
+    made = {e["file"]: e["added"] for _, after in log for e in after}
+    gone = [set(e["file"] for e in a) - set(e["file"] for e in b) for (_, a), (_, b) in zip(log, log[1:])]
+    assert any(f in made for g in gone for f in g)
+    real = {e["file"]: e["rows"] for e in store.entries()}
+    seen = store.read().groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
+    assert {r.f: r["count"] for r in seen} == real
+
+
 def test_of_two_writers_one_must_look_again(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"))
     store.append(documents(spark))
@@ -338,6 +471,14 @@ def test_tokens_are_those_of_the_reference_encoder(codec, text):
     assert own.encode(text) == known.encode_ordinary(text) and own.decode(own.encode(text)) == text.encode()
 
 
+def test_long_texts_are_encoded_in_parts_and_little_is_remembered(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 800)
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 2000)
+    text = prose(3, 900) + " " + "ab" * 3000 + "\n\n  日本語 " + prose(4, 900)
+    assert codec[0].encode(text) == codec[1].encode_ordinary(text)
+    assert codec[0].chars < 12_000
+
+
 def test_digests_of_all_documents(spark, codec):
     docs = clashing(documents(spark))
     want = Counter()
@@ -380,6 +521,15 @@ def test_archives_begin_with_their_dictionary_and_leavings_are_not_read(spark, t
     assert warc.read(spark, folder).count() == pages.count()
 
 
+def test_ids_and_pages_of_any_text_come_back(spark, tmp_path):
+    long = "é" * 1_500_000
+    pages = spark.createDataFrame([("", "u", "a"), ("a\r\nWARC-Type: x>", "u\n", "b"), (None, None, None), ("ü %41", "u", long), ("z", "u", long)], "page_id string, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write(clashing(pages), folder, warc.sample_dictionary(pages))
+    found = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, folder).collect()}
+    assert found == {("", "response", None, 1), ("a\r\nWARC-Type: x>", "response", None, 1), (None, "response", None, 0), ("z", "response", None, 3_000_000), ("ü %41", "revisit", "z", 3_000_000)}
+
+
 def test_archives_of_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(none, f"file://{tmp_path}/w", warc.sample_dictionary(none))
@@ -453,19 +603,57 @@ def test_no_near_pair_is_missed_at_any_distance(spark, monkeypatch):
     assert all(found[a] == found[b] for a, b in pairs)
 
 
-def test_anchors_cover(spark):
-    code = simhash.anchors()
-    assert len(set(code.tolist())) == 1024
+@pytest.mark.parametrize("size", [7, 10, 12, 14, 24])
+def test_no_near_pair_is_missed_with_any_code(size):
+    rng = random.Random(size)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    pairs = [(b, b ^ sum(1 << k for k in rng.sample(range(64), d))) for b in base for d in (0, 1, 2, 3, 3, 3)]
+    fps = np.array(sorted({x for p in pairs for x in p}), np.uint64)
+    row, anchor, home = simhash.reached(fps, size)
+    assert np.bincount(row[home], minlength=len(fps)).tolist() == [1] * len(fps)
+    at, homes = defaultdict(set), {}
+    for r, k, h in zip(row.tolist(), anchor.tolist(), home.tolist()):
+        at[int(fps[r])].add(k)
+        if h:
+            homes[int(fps[r])] = k
+    assert all(homes[a] in at[b] or homes[b] in at[a] for a, b in pairs)
+
+
+def test_anchors_cover_and_are_different():
     far = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
-    assert np.bitwise_count(far[:, None] ^ code[None, :]).min(axis=1).max() <= simhash.COVERING_RADIUS
+    for k in (7, 10):
+        code = simhash.whole_code(k)
+        assert len(set(code.tolist())) == 2**k
+        assert np.bitwise_count(far[:, None] ^ code[None, :]).min(axis=1).max() <= simhash.COVERING_RADIUS
+    for k in (6, 11, 16):
+        code = simhash.half_code(k)
+        assert len(set(code.tolist())) == 2**k and int(code.max()) < 2**32
+        assert np.bitwise_count((far[:200, None] >> np.uint64(32)) ^ code[None, :]).min(axis=1).max() <= 12
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_rows_and_comparisons_of_random_fingerprints_grow_in_proportion(n):
+    """Counted for a sample of fingerprints against what n of them would be, as each anchor is alike."""
+    size = simhash.dimension(n)
+    fps = np.random.default_rng(n).integers(0, 2**63, 2000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    row, _, _ = simhash.reached(fps, size)
+    copies, homes = len(row) / len(fps), n / 2**size
+    assert copies < 60 and homes <= simhash.HOMES
+    assert copies * homes < 12_000  # comparisons of a fingerprint
 
 
 def test_one_document_of_a_group_stays(spark):
     docs = documents(spark)
-    kept = simhash.dedup(docs)
-    assert kept.columns == docs.columns
+    kept = simhash.dedup(clashing(docs))
+    assert kept.columns == clashing(docs).columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(5) == 1 and 1005 not in ids and 1000 in ids and 1001 not in ids and None in ids
+    assert ids.count(5) == 1 and 1005 not in ids and 1000 in ids and 1001 not in ids and None not in ids
+
+
+def test_rows_of_one_id_and_rows_without_ids_follow_the_same_rule(spark):
+    rows = [(1, prose(1, 90)), (1, prose(2, 90)), (2, prose(3, 90)), (9, prose(3, 90)), (9, prose(4, 90)), (None, prose(5, 90)), (None, prose(5, 90)), (None, prose(1, 90)), *[(7, prose(6, 90))] * 200]
+    kept = Counter((r.doc_id, r.text) for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter([(1, prose(1, 90)), (1, prose(2, 90)), (2, prose(3, 90)), (9, prose(4, 90)), (None, prose(5, 90)), (7, prose(6, 90))])
 
 
 # 10: mixing
@@ -488,18 +676,63 @@ def test_targets_are_those_of_repeated_resharing(spark):
     assert found == pytest.approx(target)
 
 
-def test_mix_meets_its_targets_and_reruns_agree(spark):
-    docs = clashing(documents(spark, 300))
+def brute_mix(rows, targets):
+    """Copies of each row (src, size, key, tie): whole epochs, then one row after the other by key."""
+    out, by = {}, defaultdict(list)
+    for r in rows:
+        by[r.src].append((r.key, r.tie, r.size, r.row))
+    for src, group in by.items():
+        total = sum(g[2] for g in group)
+        epochs = int(targets[src] // total) if total else 0
+        rest, at = targets[src] - epochs * total, 0
+        out[src] = Counter()
+        for key, tie, size, row in sorted(group, key=lambda g: g[:3]):
+            out[src][key, tie] += epochs + (at + size / 2 <= rest)
+            at += size
+    return out
+
+
+@pytest.mark.parametrize("edge", [100_000, 3])
+def test_mix_takes_what_the_plain_rule_takes(spark, monkeypatch, edge):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    rng = random.Random(2)
+    rows = [(i, prose(i % 150, rng.randint(1, 80)), "en", rng.choice(["a", "b", "c", "d", None]), 1) for i in range(600)]
+    rows += [(5000, prose(1, 50), "en", "copies", 1)] * 200 + [(6000 + i, "#$%* " * 40, "en", "symbols", 1) for i in range(300)] + [(7000, None, "en", "none", 0)] * 3
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    keyed = mixing.keyed(docs).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r.src] += r["size"]
+    targets = {r.src: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()}
+    want = brute_mix(keyed, targets)
+    text = {(r.key, r.tie): (r.row["doc_id"], r.row["text"]) for r in keyed}
+    taken = Counter()
+    for src, copies in want.items():
+        for k, n in copies.items():
+            taken[text[k]] += n
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.where("__mix_size <> 'x'").count() == 0
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +taken
     a, b = mixing.digest(docs).collect(), mixing.digest(docs.repartition(7)).collect()
-    assert Counter(map(tuple, a)) == Counter(map(tuple, b))
-    by = defaultdict(lambda: [0, 0.0])
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b)) and len(a) == len(rows)
+    by_id = Counter()
     for r in a:
-        by[r.source_size, r.target][0] += r.taken
-        assert r.taken <= 3 * r["size"]
-    assert all(abs(taken - target) <= 0.5 * max(r["size"] for r in a) for (_, target), (taken, _) in by.items())
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in a)
-    assert mixing.digest(empty(spark)).count() == 0
+        by_id[r.doc_id] += r.copies
+        assert r.taken == r.copies * r["size"] <= 3 * r["size"]
+    want_by_id = Counter()
+    for (i, _), n in taken.items():
+        want_by_id[i] += n
+    assert +by_id == +want_by_id
+    # equal rows are taken by number, so that their source meets its target
+    got = sum(r.taken for r in a if r.doc_id == 5000)
+    assert abs(got - targets["=copies"]) <= 25
+    assert mixing.digest(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+def test_rows_repeated_very_often_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 7)
+    rows = spark.createDataFrame([("a", 100), ("b", 0), ("c", 6), ("d", 14)], "x string, k long")
+    assert {r.x: r["count"] for r in mixing.repeated(rows, F.col("k")).groupBy("x").count().collect()} == {"a": 100, "c": 6, "d": 14}
 
 
 # the pipeline
@@ -520,6 +753,53 @@ def test_pipeline_keeps_columns_and_encodes_what_it_kept(spark, codec):
     assert all(r.ids == codec[1].encode_ordinary(text[r.doc_id]) for r in out[:20])
 
 
+def test_pipeline_keeps_what_each_stage_by_itself_says(spark, codec):
+    """Each stage by hand over what the one before kept: scores, groups and copies by brute force."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    frame = lambda ids: docs.where(F.col("doc_id").isin(list(ids)))
+    ids = sorted(text)
+    model = toxicity.fit(docs, labels)
+    ids = [i for i in ids if 1 / (1 + math.exp(-naive_toxicity(text[i].encode(), model))) < 0.3]
+    net = quality_cnn.fit(frame(ids), labels)
+    ids = [i for i, z in zip(ids, quality_cnn.score([text[i].encode() for i in ids], net)) if 1 / (1 + math.exp(-z)) >= 0.7]
+    fp = np.array([brute_fingerprint(text[i]) for i in ids], np.uint64)
+    label = components.local_labels(len(ids), *np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3))
+    ids = [i for k, i in enumerate(ids) if label[k] == k]
+    keyed = mixing.keyed(frame(ids)).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r.src] += len(words(text[r.row["doc_id"]]))
+    targets = {r.src: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()}
+    copies = {k: n for c in brute_mix(keyed, targets).values() for k, n in c.items()}
+    want = Counter({r.row["doc_id"]: copies[r.key, r.tie] for r in keyed})
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter(r.doc_id for r in out) == +want
+    assert all(r.ids == codec[1].encode_ordinary(text[r.doc_id]) for r in out)
+
+
+def test_very_long_texts_go_through_every_operator(spark):
+    rows = [(0, prose(1, 150_000)), (1, "x" * 1_000_000), (2, "a b " * 500_000), (3, prose(2, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(3, 1, 0), (0, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.classify(docs, labels).count() == quality_cnn.classify(docs, labels).count() == 4
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.cluster(docs).collect()} == {i: brute_fingerprint(t) for i, t in rows}
+    assert {r.doc_id: r["size"] for r in mixing.digest(docs).collect()} == {i: len(words(t)) for i, t in rows}
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(docs).collect()} == {i: len(words(t)) for i, t in rows}
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.digest(docs).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.n_tokens for r in katz.language_model(docs).collect()} == {i: len(words(t)) + 1 for i, t in rows}
+
+
+def test_operators_leave_no_setting_behind(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    docs = documents(spark, 9)
+    katz.language_model(docs).count()
+    bpe.digest(docs).count()
+    simhash.cluster(docs).count()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def test_pipeline_on_awkward_rows(spark):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES:

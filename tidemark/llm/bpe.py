@@ -20,7 +20,7 @@ import codecs
 import hashlib
 import struct
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import arrow_rows, document_text
+from .common import document_text
 
-#: Pre-tokens that a worker remembers before it begins anew.
-REMEMBERED = 400_000
+#: Pre-tokens, and characters of them, that a worker remembers before it begins anew; characters cut up at once.
+REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 16_000_000, 1_000_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -90,7 +90,9 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=serialise(vocabulary))
         self.find = regex.compile(pattern).findall
         self.shown = "".join(byte_characters())
+        self.iterate = regex.compile(pattern).finditer
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def _learn(self, pieces) -> None:
         unknown = []
@@ -105,12 +107,18 @@ class Codec:
             self.known[p] = tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
+        if len(text) <= AT_ONCE:
+            return self._ids(self.find(text))
+        matches = (m.group() for m in self.iterate(text))
+        return list(chain.from_iterable(map(self._ids, iter(lambda: list(islice(matches, AT_ONCE // 8)), []))))
+
+    def _ids(self, pieces: list[str]) -> list[int]:
         if new := set(pieces).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known = {}
+            if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+                self.known, self.chars = {}, 0
                 new = set(pieces)
             self._learn(new)
+            self.chars += sum(map(len, new))
         return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def decode(self, ids) -> bytes:
@@ -156,7 +164,7 @@ def encode(text: Column, model: _Model) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
         codec = _codec(model)
-        return pa.array([codec.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([codec.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -185,8 +193,8 @@ def round_trip(text: Column, model: _Model, with_ids: bool = False) -> Column:
         codec = _codec(model)
         shown = list(map(str, range(len(codec.tokens))))
         every, n, of_ids, of_bytes = [], [], [], []
-        for t in texts.to_pylist():
-            ids = codec.encode(t or "")
+        for t in texts:
+            ids = codec.encode(t.as_py() or "")
             n.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
@@ -200,17 +208,13 @@ def round_trip(text: Column, model: _Model, with_ids: bool = False) -> Column:
 
 def encode_documents(docs: DataFrame, model: _Model | None = None) -> DataFrame:
     """doc_id, source, ids, n_tokens and the digests of the ids and of what they decode to, for each row."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 250)
-    trip = round_trip(F.coalesce("text", F.lit("")), model or production_model(spark), with_ids=True)
-    return docs.select("doc_id", "source", trip.alias("__trip")).select("doc_id", "source", "__trip.*")
+    trip = round_trip(F.coalesce("text", F.lit("")), model or production_model(docs.sparkSession), with_ids=True)
+    return docs.select("doc_id", "source", trip.alias("trip")).select("doc_id", "source", "trip.*")
 
 
 def digest(docs: DataFrame, model: _Model | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 500)
-    trip = round_trip(F.col("text"), model or production_model(spark))
+    trip = round_trip(F.col("text"), model or production_model(docs.sparkSession))
     return document_text(docs).select("doc_id", trip.alias("trip")).select("doc_id", "trip.*")
 
 

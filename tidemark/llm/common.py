@@ -1,8 +1,10 @@
-"""What the operators of this subpackage share: where tables go that cut lineage, and the word pattern."""
+"""What the operators of this subpackage share: where tables go that cut lineage, free names, and slices of texts."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +13,18 @@ from pyspark.sql import functions as F
 #: White space is these six ASCII characters and nothing else; all else is part of a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that a Python task works on at once, or one text if it is longer.
+SLICE_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one is set only where a session names none (tests)."""
+    """The shared folder in ``spark.checkpoint.dir``. Local sessions (tests) may go without; clusters must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     if found.startswith("file:/") and not found.startswith("file://"):
@@ -32,9 +38,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in a batch sent to Python: whole texts can be long, so batches of texts are kept short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, what an action shuffled is removed when the action ends; the session's own setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a table of one's own that is no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has in any case."""
+    taken, k, out = {c.lower() for c in df.columns}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 def document_text(docs: DataFrame) -> DataFrame:
@@ -47,6 +75,15 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == 2
 
 
-def text_bytes(texts: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each text; null is empty."""
-    return [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
+def text_slices(texts: pa.Array, limit: int | None = None) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of each text (null is empty), in lists of about ``limit`` bytes, whatever a batch holds."""
+    limit, part, size = limit or SLICE_BYTES, [], 0
+    for x in texts.cast(pa.large_binary()):
+        data = x.as_py() or b""
+        part.append(data)
+        size += len(data)
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

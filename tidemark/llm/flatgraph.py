@@ -15,7 +15,8 @@ in its home cell alone, so none counts twice. Every link is verified in double p
 spanning forest of their links, not pairs.
 
 ``audit`` holds the counts against brute force for a bounded set of queries. Below ``LEAST_RECALL`` everything is searched
-again on cells that overlap twice as much; where ``MOST_OVERLAP`` isn't enough either, the query fails.
+again on cells that overlap twice as much; where ``MOST_OVERLAP`` isn't enough either, links are found by comparing a block
+of vectors after the other with all (``exact_links``), which takes as long as that takes and misses nothing.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths never link; equal vectors link; a null vec_id is never a component's
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import cut
 from .components import components, local_labels
 
 THRESHOLD = 0.9
@@ -46,7 +47,7 @@ DEGREE, NEAREST, DRAWN, ALPHA = 24, 40, 16, 1.2
 MOST = 3 * DEGREE  # edges of a vector within a cell, reverse ones included
 BEAM, STEPS, ENTRIES, SLACK = 32, 80, 4, 0.1
 SEEDS = 16  # vectors from which a query goes on in another cell
-ROUNDS = 20
+ASKED = 20_000  # queries that a task searches a cell for
 AUDITED = 2000  # of all vectors, and of those that have links
 LEAST_RECALL, MOST_OVERLAP = 0.95, 48
 CLOSE = 1e-9  # products so close to the threshold are links or not, as rounding has it
@@ -379,6 +380,57 @@ def search_cell(threshold: float):
     return cell
 
 
+def search_round(ask: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Searches of all queries in the cells that they ask for; a cell that very many ask for is searched by several tasks."""
+    deals = F.ceil(F.col("n") / ASKED).cast("int")
+    much = cut(ask.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ASKED).select("cell", deals.alias("deals")))
+    few = F.broadcast(much) if much.count() <= FEW_CELLS else much
+    n = F.coalesce("deals", F.lit(1))
+    asked = ask.join(few, "cell", "left").withColumn("deal", F.pmod(F.xxhash64(F.lit(2), "node"), n).cast("int")).drop("deals")
+    there = members.join(few, "cell", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), n - 1))).drop("deals")
+    there = there.toDF(*there.columns)  # columns of its own, as both come from the same rows
+    return asked.groupBy("cell", "deal").cogroup(there.groupBy("cell", "deal")).applyInArrow(search_cell(threshold), FOUND)
+
+
+def exact_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """As ``link``, by brute force: blocks of vectors, of ``SAMPLE_BYTES`` at most, one by one against all rows."""
+    total = nodes.count()
+    width = nodes.select(F.size("embedding")).first()[0] if total else 1
+    blocks = -(-total * 8 * width // (SAMPLE_BYTES // 4))
+    counts, edges = [], []
+    for k in range(max(1, blocks)):
+        rows = nodes.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(max(1, blocks))) == k).select("node", "embedding").toArrow()
+        if not rows.num_rows:
+            continue
+        shared = nodes.sparkSession.sparkContext.broadcast((rows["node"].to_numpy(), matrix(rows["embedding"])))
+
+        def compare(batches, shared=shared):
+            q_node, q = shared.value
+            for batch in batches:
+                x, node, copies = matrix(batch.column("embedding")), batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+                both = np.union1d(q_node, node)
+                q_at, v_at, labels, links = np.searchsorted(both, q_node), np.searchsorted(both, node), np.arange(len(both)), np.zeros(len(q), np.int64)
+                for at in range(0, len(x), 512):
+                    i, j = np.nonzero(q @ x[at : at + 512].T >= threshold)
+                    i, j = i[q_node[i] != node[at + j]], at + j[q_node[i] != node[at + j]]
+                    links += np.bincount(i, copies[j], len(q)).astype(np.int64)
+                    labels = local_labels(len(both), q_at[i], v_at[j], labels)
+                some, moved = np.nonzero(links)[0], np.nonzero(labels != np.arange(len(both)))[0]
+                yield pa.record_batch(
+                    [pa.array([0] * len(some) + [1] * len(moved), pa.int32()), np.r_[q_node[some], both[moved]], np.r_[links[some], np.zeros(len(moved), np.int64)], np.r_[np.zeros(len(some), np.int64), both[labels[moved]]]],
+                    names=["kind", "node", "links", "other"],
+                )
+
+        found = cut(nodes.select("node", "copies", "embedding").mapInArrow(compare, "kind int, node long, links long, other long"))
+        counts.append(found.where("kind = 0").select("node", "links"))
+        edges.append(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        shared.unpersist()
+    links, forest = nodes.select("node", F.lit(0).cast("long").alias("links")), nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for c, e in zip(counts, edges):
+        links, forest = links.unionByName(c), forest.unionByName(e)
+    return links.groupBy("node").agg(F.sum("links").alias("links")), forest
+
+
 def link(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (a, b) of a forest of the links, for distinct vectors of one length."""
     spark = nodes.sparkSession
@@ -390,7 +442,6 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP)
     drawn = nodes.select("node", "embedding").where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(bound).toArrow().sort_by("node")
     n_cells = max(1, min(-(-total // CELL), drawn.num_rows // PER_CELL))
     middle = centres(matrix(drawn["embedding"]).astype(np.float32), n_cells) if drawn.num_rows else np.zeros((1, width), np.float32)
-    arrow_rows(spark, 2000)
     placed = cut(place(nodes, middle, overlap))
     for _ in range(LEVELS):
         again = split_wide(placed, nodes, overlap)
@@ -401,8 +452,8 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP)
     vectors = nodes.select("node", "embedding")
     ask = members.select("cell", "node", "embedding", F.lit(None).cast("array<long>").alias("seeds"), F.col("cells").alias("visited"))
     counts, edges = [], []
-    for _ in range(ROUNDS):
-        found = cut(ask.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(search_cell(threshold), FOUND))
+    while True:  # a query never goes to a cell twice
+        found = cut(search_round(ask, members, threshold))
         counts.append(found.where("kind = 0").select("node", "links"))
         edges.append(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
         # one search of a query in a cell, however many of its cells led there
@@ -411,8 +462,6 @@ def link(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP)
         ask = cut(seen.join(were, "node").join(vectors, "node").select("cell", "node", "embedding", F.slice("seeds", 1, SEEDS).alias("seeds"), "visited"))
         if ask.isEmpty():
             break
-    else:
-        raise RuntimeError("flatgraph: queries still move")
     links = counts[0]
     for c in counts[1:]:
         links = links.unionByName(c)
@@ -472,9 +521,10 @@ def audit(named: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED
     return float(min(figures)) if figures else None
 
 
-def joined_links(nodes: DataFrame, lengths: list[int], threshold: float, overlap: int) -> DataFrame:
-    """Distinct vectors with copies, n_links and component_id."""
-    parts = [link(nodes.where(F.size("embedding") == n), threshold, overlap) for n in sorted(lengths)]
+def joined_links(nodes: DataFrame, lengths: list[int], threshold: float, overlap: int | None) -> DataFrame:
+    """Distinct vectors with copies, n_links and component_id; without an overlap, by brute force."""
+    alike = [nodes.where(F.size("embedding") == n) for n in sorted(lengths)]
+    parts = [link(x, threshold, overlap) if overlap else exact_links(x, threshold) for x in alike]
     if not parts:
         return nodes.select("embedding", "copies", F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component_id"))
     links, forest = parts[0]
@@ -498,11 +548,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     while True:
         named = joined_links(nodes, lengths, threshold, overlap)
         recall = audit(named, threshold)
-        if recall is None or recall >= LEAST_RECALL:
+        if overlap is None or recall is None or recall >= LEAST_RECALL:
             break
-        if overlap >= MOST_OVERLAP:
-            raise RuntimeError(f"flatgraph: audited recall is {recall:.3f} with {overlap} cells a vector")
-        overlap *= 2
+        overlap = 2 * overlap if overlap < MOST_OVERLAP else None
     found = good.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = cut(found.unionByName(alone))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import arrow_rows, held_out, text_bytes
+from .common import held_out, text_slices
 from .labelled import Sample, training_sample
 
 EMBED, FILTERS, HIDDEN = 8, 32, 16
@@ -201,26 +201,21 @@ def scorer(spark, net: dict, text: Column) -> Column:
 
     @F.arrow_udf(DoubleType())
     def quality(texts: pa.Array) -> pa.Array:
-        z = np.clip(score(text_bytes(texts), shared.value), -700, 700).astype(np.float64)
-        return pa.array(1 / (1 + np.exp(-z)))
+        z = np.concatenate([score(part, shared.value) for part in text_slices(texts)] or [np.zeros(0)]).astype(np.float64)
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
     return quality(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
-    scored = docs.select("doc_id", scorer(spark, fit(docs, labels), F.col("text")).alias("score"))
+    scored = docs.select("doc_id", scorer(docs.sparkSession, fit(docs, labels), F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id"), HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, all columns as they were."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
-    scored = docs.withColumn("__quality", scorer(spark, fit(docs, labels), F.col("text")))
-    return scored.where(F.col("__quality") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(scorer(docs.sparkSession, fit(docs, labels), F.col("text")) >= THRESHOLD)
 
 
 def op5_quality(spark, sf_dir) -> DataFrame:

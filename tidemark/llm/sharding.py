@@ -23,11 +23,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, free_name
 
 FAN_IN = 4
 SMALLEST = 1 << 20
 TARGET = 64 << 20
+WAVES = 8
 ENTRY = "file string, bytes long, rows long, tier int, added long"
 
 
@@ -54,9 +55,13 @@ class ShardStore:
 
     def latest(self) -> int:
         """The number of the last version, 0 without any."""
+        return max(self.versions(), default=0)
+
+    def versions(self) -> list[int]:
+        """The numbers of the versions that can be read."""
         found = self._fs.listStatus(self._path(f"{self.root}/versions"))
         names = [s.getPath().getName() for s in found]
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def _pointer(self, version: int) -> dict:
         lines = self.spark.read.text(f"{self.root}/versions/v{version:08d}.json").collect()
@@ -109,15 +114,18 @@ class ShardStore:
         rows.write.parquet(folder)
         return self._add(folder, rows.schema.json())
 
-    def append_waves(self, rows: DataFrame, wave) -> list[int]:
-        """Add rows as several arrivals, one version for each value of ``wave``, written in one pass over ``rows``."""
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        rows.withColumn("__wave", wave).write.partitionBy("__wave").parquet(folder)
+    def append_waves(self, rows: DataFrame, wave, after=lambda: None) -> list[int]:
+        """Add rows as several arrivals, one version for each value of ``wave``, written in one pass over ``rows``.
+
+        ``after`` is called once each arrival is committed.
+        """
+        folder, name, versions = f"{self.root}/shards/{uuid.uuid4().hex}", free_name(rows, "wave"), []
+        rows.withColumn(name, wave).write.partitionBy(name).parquet(folder)
         found = self._fs.listStatus(self._path(folder))
-        waves = sorted(s.getPath().getName() for s in found if s.getPath().getName().startswith("__wave="))
-        if not waves:
-            return [self.append(rows)]
-        return [self._add(f"{folder}/{w}", rows.schema.json()) for w in waves]
+        for w in sorted(s.getPath().getName() for s in found if s.getPath().getName().startswith(f"{name}=")):
+            versions.append(self._add(f"{folder}/{w}", rows.schema.json()))
+            after()
+        return versions or [self.append(rows)]
 
     def _add(self, folder: str, schema: str) -> int:
         while True:
@@ -135,6 +143,13 @@ class ShardStore:
             tiers.setdefault(e["tier"], []).append(e)
         return [t for _, t in sorted(tiers.items()) if len(t) >= self.fan_in]
 
+    def settle(self) -> int:
+        """Compact until no tier is due, as merged files can make the next one so, and delete what no version needs."""
+        while self.plan(self.entries()):
+            self.compact()
+        self.vacuum()
+        return self.latest()
+
     def compact(self) -> int:
         """Merge every tier that is due and commit; the version then current."""
         base = self.latest()
@@ -160,10 +175,15 @@ class ShardStore:
                 base = self.latest()
 
     def vacuum(self, versions: int = 1) -> int:
-        """Delete shards that none of the last versions lists but an older one did; how many."""
-        last = self.latest()
-        keep = {e["file"] for v in range(max(1, last - versions + 1), last + 1) for e in self.entries(v)}
-        old = {e["file"] for v in range(1, last - versions + 1) for e in self.entries(v)} - keep
+        """Delete all but the last versions, and the shards that only those listed; how many shards."""
+        known = self.versions()
+        gone, stay = known[:-versions], known[-versions:]
+        keep = {e["file"] for v in stay for e in self.entries(v)}
+        old = {e["file"] for v in gone for e in self.entries(v)} - keep
+        for v in gone:
+            manifest = self._pointer(v)["entries"]
+            self._fs.delete(self._path(f"{self.root}/versions/v{v:08d}.json"), False)
+            self._fs.delete(self._path(f"{self.root}/manifests/{manifest}"), True)
         return sum(bool(self._fs.delete(self._path(f), False)) for f in sorted(old))
 
     # reading
@@ -189,12 +209,11 @@ class ShardStore:
 
 
 def op4_sharding(spark, sf_dir) -> DataFrame:
-    """Documents arrive in four waves, each followed by compaction; where each row then is, and what it holds."""
+    """Documents arrive in eight waves, each followed by compaction; where each row then is, and what it holds."""
     store = ShardStore(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store.append_waves(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    version = store.compact()
-    store.vacuum()
+    store.append_waves(docs, F.pmod(F.xxhash64("doc_id"), F.lit(WAVES)), store.settle)
+    version = store.latest()
     rows = store.read(version).select("doc_id", F.length("text").cast("long").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("_metadata.file_path").alias("file"))
     # one row a shard, of a manifest that the driver holds anyway
     shards = spark.createDataFrame([(e["file"], e["rows"], e["bytes"], e["tier"]) for e in store.entries(version)], "file string, shard_rows long, shard_bytes long, tier int")

@@ -8,7 +8,8 @@ softmax are learned together from labelled documents: first from windows drawn a
 document that scores highest.
 
 As all is linear after the look-up, scoring needs one number for each n-gram bucket, which tasks get as a broadcast of
-``4 << BITS`` bytes. It is done on whole batches of bytes; pieces of long texts end at white space.
+``4 << BITS`` bytes. It is done on many texts at once; long texts are cut where a window of words begins, so that no
+score depends on how they are cut (a piece is longer than meant only if three words are).
 
 Defined results: a null, empty or blank text has the score of no n-grams, at most the rate of label 1; without labels of
 both kinds every score is the rate of label 1 (0 without labels); repeated rows get equal scores; null ids are scored
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import arrow_rows, held_out, text_bytes
+from .common import held_out, text_slices
 from .labelled import Sample, training_sample
 
 GRAMS = (3, 4, 5, 6)
@@ -63,16 +64,27 @@ def _grams(text: np.ndarray):
             yield ((h + np.uint32(n)) * np.uint32(2654435769)) >> np.uint32(32 - BITS), spaces[n - 2 : len(space) - 1] == spaces[: len(h)]
 
 
-def _pieces(texts: list[bytes], limit: int = PIECE):
-    """Blocks of (text number, piece) of about ``limit`` bytes; a longer text is cut at white space, if it has some."""
+def _window_end(text: bytes, at: int, limit: int) -> int:
+    """Where to cut a text after ``at``, where a window begins: before the last window that begins within ``limit`` bytes."""
+    while at + limit < len(text):
+        part = np.frombuffer(text, np.uint8, limit, at)
+        space = (part == 32) | ((part >= 9) & (part <= 13))
+        begins = np.nonzero(np.r_[True, space[:-1]] & ~space)[0]
+        last = (len(begins) - 1) // WINDOW * WINDOW
+        if last > 0:
+            return at + int(begins[last]) - 1  # the white space before it
+        limit *= 2
+    return len(text)
+
+
+def _pieces(texts: list[bytes], limit: int | None = None):
+    """Blocks of (text number, piece) of about ``limit`` bytes; a longer text is cut where a window begins."""
+    limit = limit or PIECE
     block, size = [], 0
     for k, t in enumerate(texts):
         at = 0
         while at < len(t):
-            end = len(t)
-            if end - at > limit:
-                end = max(t.rfind(b" ", at + 1, at + limit), t.rfind(b"\n", at + 1, at + limit))
-                end = end if end > at else at + limit
+            end = _window_end(t, at, limit)
             block.append((k, t[at:end]))
             size += end - at
             at = end
@@ -199,26 +211,21 @@ def scorer(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf(DoubleType())
     def toxicity(texts: pa.Array) -> pa.Array:
-        z = np.clip(score(text_bytes(texts), shared.value), -700, 700)
-        return pa.array(1 / (1 + np.exp(-z)))
+        z = np.concatenate([score(part, shared.value) for part in text_slices(texts)] or [np.zeros(0)])
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
     return toxicity(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
-    scored = docs.select("doc_id", scorer(spark, fit(docs, labels), F.col("text")).alias("score"))
+    scored = docs.select("doc_id", scorer(docs.sparkSession, fit(docs, labels), F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id"), HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
-    scored = docs.withColumn("__toxicity", scorer(spark, fit(docs, labels), F.col("text")))
-    return scored.where(F.col("__toxicity") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(scorer(docs.sparkSession, fit(docs, labels), F.col("text")) < THRESHOLD)
 
 
 def op2_toxicity(spark, sf_dir) -> DataFrame:

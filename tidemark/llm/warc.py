@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpoint_dir
+from .common import checkpoint_dir
 
 MIN_REVISIT = 100
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed value: the skippable frame of a dictionary
@@ -47,16 +48,21 @@ def _safe(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+def _urn(page_id) -> str:
+    """A record's name; an id of any text stays on its line and comes back as it was, and there may be none."""
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
     """A WARC 1.1 record: a revisit if ``refers_to`` names a response."""
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:x-page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", _safe(url)))
     fields.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     if refers_to is None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
     else:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers_to}>"), ("X-Payload-Length", str(size))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn(refers_to)), ("X-Payload-Length", str(size))]
         block = b""
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -71,9 +77,9 @@ def parse(data: bytes) -> dict:
         raise ValueError("not a WARC record")
     field = dict(line.split(": ", 1) for line in lines[1:])
     block = rest[: int(field["Content-Length"])]
-    name = lambda key: field[key][len("<urn:x-page:") : -1] if key in field else None
+    name = lambda key: unquote(field[key][len("<urn:x-page:") : -1]) if field.get(key, "").startswith("<urn:x-page:") else None
     digest = field["WARC-Payload-Digest"].removeprefix("sha256:")
-    out = {"page_id": name("WARC-Record-ID") or None, "record_type": field["WARC-Type"], "refers_to": name("WARC-Refers-To"), "url": field.get("WARC-Target-URI")}
+    out = {"page_id": name("WARC-Record-ID"), "record_type": field["WARC-Type"], "refers_to": name("WARC-Refers-To"), "url": field.get("WARC-Target-URI")}
     if out["record_type"] == "revisit":
         return out | {"payload": None, "payload_digest": digest, "payload_bytes": int(field["X-Payload-Length"])}
     payload = block.partition(b"\r\n\r\n")[2]
@@ -157,7 +163,7 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
         store.create_dir(f"{root}/archives", recursive=True)
         task, out, name, n, size, k = TaskContext.get(), None, "", 0, 0, 0
         for batch in batches:
-            for row in _records(batch.to_pylist()):
+            for row in (one for i in range(batch.num_rows) for one in _records(batch.slice(i, 1).to_pylist())):
                 if out is None:
                     # a name of its own for every attempt of a task
                     name, n, size, k = f"part-{task.partitionId():06d}-{k:04d}-{uuid.uuid4().hex}.warc.zst", 0, 0, k + 1
@@ -173,7 +179,6 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
             out.close()
             yield pa.record_batch([[name], [n], [size]], names=["file", "records", "bytes"])
 
-    arrow_rows(pages.sparkSession, 500)
     classified(pages).mapInArrow(archive, "file string, records long, bytes long").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -205,7 +210,6 @@ def read(spark, folder: str, with_payload: bool = False) -> DataFrame:
     kinds = {c: pa.int64() if c == "payload_bytes" else pa.binary() if c == "payload" else pa.string() for c in columns}
     if paths is None:
         return spark.createDataFrame([], schema)
-    arrow_rows(spark, 1)  # an archive at a time
     return paths.mapInArrow(records, schema)
 
 
