@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,15 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within it, what an action shuffled is removed when the action ends; the session's own setting comes back after."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def sparing(spark: SparkSession, batch_bytes: str = "4m") -> Iterator[None]:
+    """Within it, what an action shuffled is removed when the action ends, and batches of rows for Python are small; the
+    session's own settings come back after. For actions: frames that outlive it are run by the session's settings."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": batch_bytes}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system, so that one large group does not stay with it for good."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which may not have it
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, document_text, drop_folder, held_out, shuffles_removed
+from .common import checkpoint_dir, document_text, drop_folder, give_back, held_out, sparing
 
 K = 5
 ORDERS = (2, 3)
@@ -55,8 +55,10 @@ HELD_OUT = 7
 END = b"\n"
 UNSEEN, START = np.uint32(2**32 - 1), np.uint32(2**32 - 2)
 #: Tokens in a bucket of n-grams, about; tokens and documents in a block; bytes split at once.
-BUCKET_TOKENS, FEWEST_BUCKETS = 2_000_000, 12
+BUCKET_TOKENS, FEWEST_BUCKETS = 1_200_000, 12
 BLOCK_TOKENS, BLOCK_DOCS, PIECE = 1_000_000, 60_000, 1 << 20
+#: Trigrams are scored in so many passes over the buckets, so that less of what is sent is on disk at once.
+PASSES = 2
 #: Histories and n-grams that are spread or scored where they stand, at most.
 MOST_SPREAD = 1_000_000
 EDGE = 256  # the byte before the first and after the last one of a word
@@ -95,7 +97,7 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def _batched(rows: Iterable[tuple], ddl: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _batched(rows: Iterable[tuple], ddl: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of some megabytes; the last column counts."""
     schema, part, size = _schema(ddl), [], 0
     for row in rows:
@@ -104,11 +106,13 @@ def _batched(rows: Iterable[tuple], ddl: str, limit: int = 8 << 20) -> Iterator[
         if size >= limit:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
             part, size = [], 0
+            give_back()
     if part:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    give_back()
     return pa.Table.from_batches(list(_batched(rows, ddl)), schema=_schema(ddl))
 
 
@@ -188,6 +192,10 @@ class Model:
         at = np.searchsorted(self.first_id, word.astype(np.int64), side="right") - 1
         return np.where(word >= START, 0, self.count[at])
 
+    def history_counts(self, word: np.ndarray) -> np.ndarray:
+        """How often words are histories: as often as they are words, and the start as often as the end."""
+        return self.counts(np.where(word == START, self.end, word.astype(np.int64)))
+
     def discounted(self, order: int, n: np.ndarray) -> np.ndarray:
         return n * np.where(n > K, 1.0, self.d[order][np.minimum(n, K)])
 
@@ -243,8 +251,8 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Rows of id, text, held in blocks: ids, held, the number of tokens of each, tokens as places in the block's own
-    list of words, and those words with their counts in training documents."""
+    """Rows of id, text, held in blocks: ids; how many tokens each has, held, and tokens as places in the block's own list
+    of words; and those words with their counts in training documents."""
     kind, most = rows.schema["id"].dataType.simpleString(), BLOCK_TOKENS
 
     def emit(batches):
@@ -281,6 +289,7 @@ def blocks(rows: DataFrame) -> DataFrame:
                     k += 1
                     number.clear()
                     ids, held, lens, tokens, n = [], [], [], [], 0
+                    give_back()
             if begin < batch.num_rows:
                 ids.append(batch.column("id").slice(begin))
         if lens:
@@ -290,11 +299,13 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> None:
-    """word, c, id of every training word; ids are ranks by count, of equal ones by word."""
+    """word, c, id of every training word; ids are ranks by count, of equal ones by word: places in parts of the range,
+    and what the parts before have."""
     entries = spark.read.parquet(f"{folder}/blocks").select(F.explode(F.arrays_zip("words", "n")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.n").alias("n"))
     counts = entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
-    ranked = cut(counts.repartitionByRange(F.desc("c"), "word").sortWithinPartitions(F.desc("c"), "word"))
-    placed = ranked.select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    ranked = counts.repartitionByRange(F.desc("c"), "word").sortWithinPartitions(F.desc("c"), "word")
+    ranked.select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")).write.parquet(f"{folder}/ranked")
+    placed = spark.read.parquet(f"{folder}/ranked")
     sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # a row a partition
     starts, at = [], 0
     for part, n in sizes:
@@ -302,6 +313,7 @@ def vocabulary(spark: SparkSession, folder: str) -> None:
         at += n
     before = F.broadcast(spark.createDataFrame(starts, "part int, before long"))
     placed.join(before, "part").select("word", "c", (F.col("before") + F.col("place")).alias("id")).write.parquet(f"{folder}/vocabulary")
+    drop_folder(spark, f"{folder}/ranked")
 
 
 def spelling(words: DataFrame) -> np.ndarray:
@@ -347,13 +359,11 @@ def encode(model: Model):
 
     def block(row: pa.Table, found: pa.Table) -> pa.Table:
         lens, held, tokens = next(_bodies(row))
-        words = row["words"].combine_chunks().flatten()
-        ids, c = np.full(len(words), UNSEEN, np.uint32), np.zeros(len(words), np.int64)
-        ids[found["pos"].to_numpy()] = found["id"].to_numpy().astype(np.uint32)
-        c[found["pos"].to_numpy()] = found["c"].to_numpy()
-        own = np.zeros(len(words))
-        lost = np.nonzero(c == 0)[0]
-        own[lost] = np.log10(model.unseen) + spelled(words.take(pa.array(lost)).to_pylist(), model.spelling)
+        place, known = found["pos"].to_numpy(), found["unseen"].is_null().to_numpy()
+        ids, own = np.full(len(place), UNSEEN, np.uint32), np.zeros(len(place))
+        ids[place[known]] = found["id"].to_numpy()[known].astype(np.uint32)
+        own[place[~known]] = np.log10(model.unseen) + spelled(found["unseen"].drop_null().to_pylist(), model.spelling)
+        c = model.counts(ids)
         doc = np.repeat(np.arange(len(lens)), lens)
         sums = [np.bincount(doc, v[tokens], len(lens)) for v in ((c > 0).astype(float), np.log10(c + 1.0), own)]
         distinct, where = np.unique(np.append(ids, START), return_inverse=True)
@@ -510,6 +520,12 @@ class Grams:
         at, some = _among(model.spread[order].history, self.history)
         self.below[some], self.alpha[some] = model.spread[order].below[at[some]], model.spread[order].alpha[at[some]]
 
+    def signed(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of n-grams that are there, negative if one is added to their history's count."""
+        at, _ = _among(self.history, history)
+        n = self.n[_among(self.key, (at.astype(np.uint64) << SHIFT) | word)[0]]
+        return np.where(self.below[at] > self.model.history_counts(history), -n, n)
+
     def values(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of n-grams seen, of others log10 of the backoff weight (0 after an unseen history); and which are seen."""
         at, known = _among(self.history, history)
@@ -524,13 +540,13 @@ class Grams:
 
 
 def tell(model: Model):
-    """P of the pairs asked for, all of which are there."""
+    """Counts of the pairs asked for, all of which are there; negative if one is added to their history's count."""
 
     def bucket(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return _schema(TOLD).empty_table()
         grams, own = Grams(known, model, 2), asked["bucket"][0].as_py()
-        return _table([(asks, own, pack(10 ** grams.values(*body)[0])) for asks, body in zip(asked["asks"].to_pylist(), _bodies(asked))], TOLD)
+        return _table([(asks, own, pack(grams.signed(*body))) for asks, body in zip(asked["asks"].to_pylist(), _bodies(asked))], TOLD)
 
     return bucket
 
@@ -541,9 +557,10 @@ def weigh_trigrams(model: Model):
             return _schema(WEIGHED).empty_table()
         body = next(_bodies(counted))
         history, word, place = _shorter(body)
-        p, answers = np.zeros(len(word)), dict(zip(told["bucket"].to_pylist(), _bodies(told)))
+        n, answers = np.zeros(len(word), np.int64), dict(zip(told["bucket"].to_pylist(), _bodies(told)))
         for b, at in _dealt(model.bucket(2, history, word)):
-            p[at] = answers[b][0]
+            n[at] = answers[b][0]
+        p = model.discounted(2, np.abs(n)) / (model.history_counts(history) + (n < 0))
         return _table([_weighed(model, 3, counted["bucket"][0].as_py(), body, p[place])], WEIGHED)
 
     return bucket
@@ -603,7 +620,7 @@ def look_frequent(some: Frequent, history: np.ndarray, word: np.ndarray) -> tupl
 def train(rows: DataFrame, folder: str) -> Model:
     """Encode, count, discount and weigh; tables go to ``folder``. rows: id, text, held (rows held out are left aside)."""
     spark = rows.sparkSession
-    blocks(rows).write.parquet(f"{folder}/blocks")
+    blocks(rows).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     vocabulary(spark, folder)
     words = spark.read.parquet(f"{folder}/vocabulary")
     model = Model(folder)
@@ -623,12 +640,16 @@ def train(rows: DataFrame, folder: str) -> Model:
         model.unseen = (freed or 1.0) / model.below
         model.spelling = spelling(words)
         model.end = words.where(F.col("word") == F.lit(END)).first()["id"]
-    asked = spark.read.parquet(f"{folder}/blocks").select("block", F.posexplode("words").alias("pos", "word")).join(words, "word").select("block", "pos", "id", "c")
-    kept = spark.read.parquet(f"{folder}/blocks").select("block", "ids", "body", "words")
+    asked = spark.read.parquet(f"{folder}/blocks").select("block", F.posexplode("words").alias("pos", "word")).join(words.select("word", "id"), "word", "left")
+    asked.select("block", "pos", "id", F.when(F.col("id").isNull(), F.col("word")).alias("unseen")).write.option("compression", "zstd").parquet(f"{folder}/asked")
+    asked = spark.read.parquet(f"{folder}/asked")
+    kept = spark.read.parquet(f"{folder}/blocks").select("block", "ids", "body")
     kind = kept.schema["ids"].dataType.simpleString()
     encoded = kept.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(encode(model), f"block long, ids {kind}, body binary, sums binary")
     encoded.write.parquet(f"{folder}/encoded")
     drop_folder(spark, f"{folder}/blocks")
+    drop_folder(spark, f"{folder}/asked")
+    drop_folder(spark, f"{folder}/vocabulary")
     if not model.total:
         return model
     encoded = spark.read.parquet(f"{folder}/encoded")
@@ -682,8 +703,9 @@ def _by_document(doc: np.ndarray, value: np.ndarray) -> bytes:
     return pack(some.astype(np.uint16), np.bincount(doc, value)[some])
 
 
-def scoring_messages(encoded: DataFrame, model: Model) -> DataFrame:
-    """Trigrams of each block with the documents they stand in, a row a bucket; and sums of those very frequent."""
+def scoring_messages(encoded: DataFrame, model: Model, turn: int, turns: int) -> DataFrame:
+    """Trigrams of each block with the documents they stand in, a row a bucket; and sums of those very frequent. Of every
+    ``turns`` buckets one is sent its part; with the first, sums."""
 
     def rows(batches):
         for batch in batches:
@@ -695,11 +717,13 @@ def scoring_messages(encoded: DataFrame, model: Model) -> DataFrame:
                 n = _lengths(begin, len(key))
                 history, word = _global(key[begin], 3, bits, ids)
                 value, here = look_frequent(model.frequent[3], history, word)
-                if here.any():
+                if turn == 0 and here.any():
                     at = np.repeat(here, n)
                     yield -1 - block % model.buckets, block, _by_document(doc[at], np.repeat(value[here], n[here]))
                 away = np.nonzero(~here)[0]
-                for bucket, at in _dealt(model.bucket(3, history[away], word[away])):
+                to = model.bucket(3, history[away], word[away])
+                away, to = away[to % turns == turn], to[to % turns == turn]
+                for bucket, at in _dealt(to):
                     at = away[at]
                     of = doc[_places(begin[at], n[at])]
                     yield bucket, block, _message(history[at], word[at], n[at], of, np.zeros(len(of), np.uint8), np.array([block]))
@@ -767,12 +791,15 @@ def score(spark: SparkSession, model: Model) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
     encoded = spark.read.parquet(f"{model.folder}/encoded")
     kind = encoded.schema["ids"].dataType.elementType.simpleString()
-    parts = []
+    parts, sent = [], None
     if model.total:
-        sent = scoring_messages(encoded, model)
         for order in reversed(ORDERS):
             table = spark.read.parquet(f"{model.folder}/grams{order}").select("bucket", "body")
-            sent.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(score_bucket(model, order), SENT).write.parquet(f"{model.folder}/scored{order}")
+            turns = PASSES if order == 3 else 1
+            for turn in range(turns):
+                sent = scoring_messages(encoded, model, turn, turns) if order == 3 else sent
+                mine = table.where(F.pmod("bucket", F.lit(turns)) == turn)
+                sent.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(score_bucket(model, order), SENT).write.mode("append").parquet(f"{model.folder}/scored{order}")
             scored = spark.read.parquet(f"{model.folder}/scored{order}")
             parts.append(scored.where("bucket < 0").select("block", "body"))
             sent = scored.where("bucket >= 0")
@@ -790,9 +817,9 @@ def language_model(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = document_text(docs).select(F.col("doc_id").alias("id"), "text", held_out(F.col("doc_id"), HELD_OUT).alias("held"))
     folder = f"{checkpoint_dir(spark)}/katz-{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
+    with sparing(spark):
         score(spark, train(rows, folder)).withColumnRenamed("id", "doc_id").write.parquet(f"{folder}/result")
-    for table in ("vocabulary", "encoded", *(f"{name}{order}" for name in ("grams", "scored") for order in ORDERS)):
+    for table in ("encoded", *(f"{name}{order}" for name in ("grams", "scored") for order in ORDERS)):
         drop_folder(spark, f"{folder}/{table}")
     return spark.read.parquet(f"{folder}/result")
 
