@@ -55,8 +55,8 @@ HELD_OUT = 7
 END = b"\n"
 UNSEEN, START = np.uint32(2**32 - 1), np.uint32(2**32 - 2)
 #: Tokens in a bucket of n-grams, about; tokens and documents in a block; bytes split at once.
-BUCKET_TOKENS, FEWEST_BUCKETS = 1_200_000, 12
-BLOCK_TOKENS, BLOCK_DOCS, PIECE = 1_000_000, 60_000, 1 << 20
+BUCKET_TOKENS, FEWEST_BUCKETS = 800_000, 12
+BLOCK_TOKENS, BLOCK_DOCS, PIECE = 600_000, 60_000, 1 << 20
 #: Trigrams are scored in so many passes over the buckets, so that less of what is sent is on disk at once.
 PASSES = 2
 #: Histories and n-grams that are spread or scored where they stand, at most.
@@ -426,16 +426,20 @@ COUNTED = "bucket int, of_counts array<long>, body binary"
 def training_messages(encoded: DataFrame, order: int, model: Model) -> DataFrame:
     """The n-grams of each block's training documents and their counts, a row a bucket."""
 
+    def of_block(body):  # a function of its own, so that nothing of a block outlives it
+        key, _, bits, ids = _grams(order, body, True)
+        key.sort()
+        begin = _runs(key)
+        n = _lengths(begin, len(key)).astype(np.uint32)
+        history, word = _global(key[begin], order, bits, ids)
+        del key, begin
+        for bucket, at in _dealt(model.bucket(order, history, word)):
+            yield bucket, pack(history[at], word[at], n[at])
+
     def rows(batches):
         for batch in batches:
-            for body in _bodies(pa.table({"body": batch.column(0)})):
-                key, _, bits, ids = _grams(order, body, True)
-                key.sort()
-                begin = _runs(key)
-                history, word = _global(key[begin], order, bits, ids)
-                n = _lengths(begin, len(key)).astype(np.uint32)
-                for bucket, at in _dealt(model.bucket(order, history, word)):
-                    yield bucket, pack(history[at], word[at], n[at])
+            for i in range(batch.num_rows):
+                yield from of_block(unpack(batch.column(0)[i].as_py()))
 
     return encoded.select("body").mapInArrow(lambda b: _batched(rows(b), "bucket int, body binary"), "bucket int, body binary")
 
@@ -707,26 +711,30 @@ def scoring_messages(encoded: DataFrame, model: Model, turn: int, turns: int) ->
     """Trigrams of each block with the documents they stand in, a row a bucket; and sums of those very frequent. Of every
     ``turns`` buckets one is sent its part; with the first, sums."""
 
+    def of_block(block, body):
+        key, doc, bits, ids = _grams(3, body, False)
+        by = np.argsort(key)
+        key, doc = key[by], doc[by]
+        begin = _runs(key)
+        n = _lengths(begin, len(key))
+        history, word = _global(key[begin], 3, bits, ids)
+        del key, by
+        value, here = look_frequent(model.frequent[3], history, word)
+        if turn == 0 and here.any():
+            at = np.repeat(here, n)
+            yield -1 - block % model.buckets, block, _by_document(doc[at], np.repeat(value[here], n[here]))
+        away = np.nonzero(~here)[0]
+        to = model.bucket(3, history[away], word[away])
+        away, to = away[to % turns == turn], to[to % turns == turn]
+        for bucket, at in _dealt(to):
+            at = away[at]
+            of = doc[_places(begin[at], n[at])]
+            yield bucket, block, _message(history[at], word[at], n[at], of, np.zeros(len(of), np.uint8), np.array([block]))
+
     def rows(batches):
         for batch in batches:
-            for block, body in zip(batch.column("block").to_pylist(), _bodies(pa.table({"body": batch.column("body")}))):
-                key, doc, bits, ids = _grams(3, body, False)
-                by = np.argsort(key)
-                key, doc = key[by], doc[by]
-                begin = _runs(key)
-                n = _lengths(begin, len(key))
-                history, word = _global(key[begin], 3, bits, ids)
-                value, here = look_frequent(model.frequent[3], history, word)
-                if turn == 0 and here.any():
-                    at = np.repeat(here, n)
-                    yield -1 - block % model.buckets, block, _by_document(doc[at], np.repeat(value[here], n[here]))
-                away = np.nonzero(~here)[0]
-                to = model.bucket(3, history[away], word[away])
-                away, to = away[to % turns == turn], to[to % turns == turn]
-                for bucket, at in _dealt(to):
-                    at = away[at]
-                    of = doc[_places(begin[at], n[at])]
-                    yield bucket, block, _message(history[at], word[at], n[at], of, np.zeros(len(of), np.uint8), np.array([block]))
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                yield from of_block(block, unpack(batch.column("body")[i].as_py()))
 
     return encoded.select("block", "body").mapInArrow(lambda b: _batched(rows(b), SENT), SENT)
 
