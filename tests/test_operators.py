@@ -210,3 +210,23 @@ def test_json_transactions_of_one_file_each(spark, tmp_path):
     assert {(r.file, r.place, r.key, r.is_write) for r in requests.accesses(txns).collect()} == {("copy.json", 0, "C", True), ("copy.json", 1, "A", False), ("move.json", 0, "A", True)}
     assert {(r.command, r.a, r.b) for r in requests.procedures(txns).collect()} == {("COPY", "A", "C"), (None, None, None)}
     assert {(r.file, r.new_master) for r in txns.select("file", "new_master").collect()} == {("copy.json", None), ("move.json", 1)}
+
+
+def test_first_error_of_a_new_order_is_kept(spark):
+    orders = spark.createDataFrame([(1, True, True, True), (2, False, False, True), (3, True, True, False), (4, True, True, True), (5, True, True, True)], "order_id long, has_warehouse boolean, has_customer boolean, has_district boolean")
+    lines = spark.createDataFrame([(1, 1, True, True), (2, 1, False, True), (4, 2, False, True), (4, 1, True, False), (5, 1, False, False)], "order_id long, number int, has_item boolean, has_stock boolean")
+    found = {r.order_id: r.abort_reason for r in tpcc.first_error(orders, lines).collect()}
+    assert found == {
+        1: "", 2: "NewOrder Txn - Warehouse does not exist", 3: "NewOrder Txn - The district does not exist", 4: "NewOrder Txn - Stock of the item does not exist", 5: "NewOrder Txn - The item does not exist",
+    }
+
+
+def test_dispatch_of_odd_calls(spark):
+    rows = [(1, None), (2, []), (3, [[]]), (4, [None]), (5, [[None]]), (6, [["payment"] + ["1"] * 8]), (7, [["payment"]]), (8, [["deliver"] + ["1"] * 6, ["more"]]), (9, [["new_order"] + ["1"] * 6])]
+    calls = spark.createDataFrame(rows, "id int, calls array<array<string>>")
+    found = {r.id: r.why for r in calls.select("id", tpcc.dispatched(F.col("calls")).alias("why")).collect()}
+    assert [found[i] for i in (1, 2, 3, 4)] == ["Invalid code"] * 4
+    assert found[5] == "Unknown procedure name"
+    assert found[6] == found[8] == ""
+    assert found[7] == "Payment Txn - Invalid number of arguments"
+    assert found[9] == "NewOrder Txn - Invalid number of arguments"
