@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import placement as P
 from tidemark.functions import strings as X
 from tidemark.operators import analysis as A
-from tidemark.operators import kv, locks, ordering, stats, store, tpcc, workload
+from tidemark.operators import exchange, kv, locks, ordering, stats, store, tpcc, workload
 from tidemark.plans import registry
 from tidemark.sources import datums
 from tidemark.sources import tpcc as tables
@@ -230,3 +230,27 @@ def test_dispatch_of_odd_calls(spark):
     assert found[6] == found[8] == ""
     assert found[7] == "Payment Txn - Invalid number of arguments"
     assert found[9] == "NewOrder Txn - Invalid number of arguments"
+
+
+def test_slots_stop_at_the_first_that_is_not_ready(spark):
+    slots = spark.createDataFrame([(0, 5), (1, 6), (3, 8)], "slot long, batch_id long")
+    data = lambda *ids: spark.createDataFrame([(i,) for i in ids], "batch_id long")
+    found = lambda *ids: sorted(r.slot for r in exchange.slot_prefix(slots, data(*ids)).collect())
+    assert found(5, 6, 8) == [0, 1]
+    assert found(5, 8) == [0]
+    assert found(6, 8) == found() == []
+
+
+def test_a_waiter_is_ready_once_all_that_it_waits_for_is_gone(spark):
+    edges = spark.createDataFrame([(1, 3), (2, 3), (1, 4), (3, 5)], "blocker long, waiter long")
+    gone = lambda *ids: spark.createDataFrame([(i,) for i in ids], "node long")
+    assert sorted(r.node for r in exchange.released(edges, gone(1)).collect()) == [4]
+    assert sorted(r.node for r in exchange.released(edges, gone(1, 2)).collect()) == [3, 4]
+    assert exchange.released(edges, gone()).count() == 0
+
+
+def test_merged_events_keep_the_main_part_and_what_differs(spark):
+    rows = [(1, 0, 0, "A", 1, 1), (1, 0, 1, "B", 2, 1), (1, 2, 0, "A", 1, 1), (1, 2, 1, "B", 3, 1), (1, 2, 2, "C", 4, 1), (2, 1, 0, "A", 1, 1)]
+    events = spark.createDataFrame(rows, "txn_id long, home long, idx int, event string, time long, machine long")
+    found = sorted((r.txn_id, r.home, r.idx) for r in exchange.merged_events(events).collect())
+    assert found == [(1, 0, 0), (1, 0, 1), (1, 2, 1), (1, 2, 2), (2, 1, 0)]
