@@ -254,3 +254,28 @@ def test_merged_events_keep_the_main_part_and_what_differs(spark):
     events = spark.createDataFrame(rows, "txn_id long, home long, idx int, event string, time long, machine long")
     found = sorted((r.txn_id, r.home, r.idx) for r in exchange.merged_events(events).collect())
     assert found == [(1, 0, 0), (1, 0, 1), (1, 2, 1), (1, 2, 2), (2, 1, 0)]
+
+
+def test_samples_are_exact_however_numbers_tie(spark):
+    rows = spark.range(3000).withColumn("lot", F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") * 1_000_003) % (1 << 31)))
+    wanted = sorted((r.lot, r.id) for r in rows.collect())
+    for size in (0, 1, 500, 1200, 2999, 3000, 9000):
+        assert sorted((r.lot, r.id) for r in stats.exact_sample(rows, F.col("lot"), ["id"], size).collect()) == wanted[:size]
+    assert [stats.sample_size(n, 10, 500) for n in (0, 300, 4000, 9000)] == [0, 300, 500, 900]
+
+
+def test_hot_records_come_from_hot_keys_and_are_distinct(spark):
+    keys = workload.basic(spark, 400, 200, 2, 2, mp=50, mh=50, records=6, writes=3, hot=8, hot_records=4).collect()
+    by_txn = {}
+    for r in keys:
+        by_txn.setdefault(r.txn_id, []).append(r.key)
+    for found in by_txn.values():
+        assert len(set(found)) == 6
+        assert sum(k // 4 < 4 for k in found) == 4
+    with pytest.raises(ValueError):
+        workload.basic(spark, 1, 200, 2, 2, records=6, writes=3, hot=4, hot_records=4)
+
+
+def test_throughput_is_rounded_and_infinite_without_time(spark):
+    rows = spark.createDataFrame([(100, 0), (100, 3), (1, 2000), (2, 3000)], "n long, ms long")
+    assert [r[0] for r in rows.select(stats.throughput_text(F.col("n"), F.col("ms"))).collect()] == ["inf", "33333.333", "0.500", "0.667"]

@@ -18,19 +18,22 @@ def joined(values: Column) -> Column:
 
 
 def classify(access: DataFrame) -> DataFrame:
-    """Type, home, and the partitions and regions that each transaction involves."""
+    """Type, home, and the partitions and regions that each transaction involves.
+
+    Numbers of partitions and homes are sizes of the sets, as distinct counts beside them would multiply the rows.
+    """
     return (
         access.groupBy("txn_id")
         .agg(
-            F.min("master").alias("low"), F.max("master").alias("high"), F.count_if(F.col("master").isNull()).alias("unplaced"),
-            joined(F.collect_set("part")).alias("involved_partitions"), joined(F.collect_set(F.when(F.col("is_write"), F.col("part")))).alias("active_partitions"),
-            joined(F.collect_set("master")).alias("involved_regions"), F.count_distinct("part").alias("n_parts"), F.count_distinct("master").alias("n_homes"),
+            F.min("master").alias("low"), F.max("master").alias("high"), F.count_if(F.col("master").isNull()).alias("unplaced"), F.count_if("is_write").alias("n_writes"),
+            F.sort_array(F.collect_set("part")).alias("parts"), F.collect_set(F.when(F.col("is_write"), F.col("part"))).alias("written"), F.collect_set("master").alias("masters"),
         )
         .select(
             "txn_id",
             F.when(F.col("unplaced") > 0, UNKNOWN).when(F.col("low") == F.col("high"), SINGLE).otherwise(MULTI).alias("type"),
             F.when((F.col("unplaced") == 0) & (F.col("low") == F.col("high")), F.col("low")).otherwise(-1).cast("int").alias("home"),
-            "involved_partitions", "active_partitions", "involved_regions", "n_parts", "n_homes",
+            joined(F.col("parts")).alias("involved_partitions"), joined(F.col("written")).alias("active_partitions"), joined(F.col("masters")).alias("involved_regions"),
+            F.size("parts").cast("long").alias("n_parts"), F.size("masters").cast("long").alias("n_homes"), "n_writes", "parts",
         )
     )
 
@@ -41,18 +44,17 @@ def with_masters(access: DataFrame, store: DataFrame, default: Column | None = N
     return found if default is None else found.withColumn("master", F.coalesce("master", default))
 
 
-def route(access: DataFrame, typed: DataFrame, local: DataFrame) -> DataFrame:
+def route(typed: DataFrame, local: DataFrame) -> DataFrame:
     """Where a transaction goes: its own region's sequencer, a remote one's, or the orderer.
 
     The partition of a remote region is drawn from the involved ones by the transaction's number, so reruns agree.
     """
-    parts = access.groupBy("txn_id").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     pick = F.element_at("parts", (F.pmod(F.col("txn_id"), F.size("parts")) + 1).cast("int"))
     where = (
         F.when(F.col("type") == UNKNOWN, "lookup").when(F.col("type") == MULTI, "orderer").when(F.col("home") == F.col("coord"), "local sequencer").otherwise("remote sequencer")
     )
     return (
-        typed.join(parts, "txn_id").join(local, "txn_id")
+        typed.join(local, "txn_id")
         .select("txn_id", "type", "home", "coord", where.alias("destination"), F.when(where == "remote sequencer", pick).otherwise(-1).cast("long").alias("to_partition"))
     )
 
@@ -90,6 +92,26 @@ def merge(subs: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def differing(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Transactions (txn_id) of two logs (txn_id, key, is_write) whose ordered keys aren't the same, or that one log lacks."""
+
+    def keys(log: DataFrame, name: str) -> DataFrame:
+        return log.groupBy("txn_id").agg(F.sort_array(F.collect_list(F.struct("key", "is_write"))).alias(name))
+
+    both = keys(first, "these").join(keys(second, "those"), "txn_id", "full")
+    return both.where(~F.col("these").eqNullSafe(F.col("those"))).select("txn_id", F.col("these").isNotNull().alias("in_first"), F.col("those").isNotNull().alias("in_second"))
+
+
+def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
+    """Union of tables of the same columns: of each key the row of the first table that has it (the least of several)."""
+    union = None
+    for k, rows in enumerate(sources):
+        ranked = rows.select(F.lit(k).alias("from_source"), *sources[0].columns)
+        union = ranked if union is None else union.unionByName(ranked)
+    row = F.struct("from_source", *(c for c in sources[0].columns if c != key))
+    return union.groupBy(key).agg(F.min(row).alias("row")).select(key, "row.*")
+
+
 def remaster(access: DataFrame, new_master: Column) -> DataFrame:
     """A move of each key: multi-home by definition, with a lock-only part in the old and in the new region."""
     return access.select(

@@ -44,9 +44,37 @@ def rate_by_second(events: DataFrame, group: list[str], t_us: str, step_us: int
     return steps.withColumn("change", F.col("n") - F.lag("n", 1, 0).over(last))
 
 
-def exact_sample(rows: DataFrame, by: Column, size: int) -> DataFrame:
-    """A seeded sample of exactly ``size`` rows: those of the least numbers."""
-    return rows.orderBy(by).limit(size)
+def sample_size(n: int, percent: int, least: int) -> int:
+    """How many of n results are kept: a part of a hundred, ``least`` at least, and no more than there are."""
+    return min(n, max(n * percent // 100, least))
+
+
+def exact_sample(rows: DataFrame, number: Column, order: list[str], size: int, buckets: int = 4096) -> DataFrame:
+    """A seeded sample of exactly ``size`` rows: those of the least numbers (0 to 2^31 - 1), equal ones by ``order``.
+
+    Buckets of numbers are counted first, ``buckets`` rows. Rows of buckets that are taken whole stay where they are; only
+    those of the bucket in which the sample ends are sorted.
+    """
+    bucket, taken = F.floor(number / ((1 << 31) // buckets)), 0
+    for b, n in sorted(tuple(r) for r in rows.groupBy(bucket.alias("bucket")).count().collect()):
+        if taken + n > size:
+            return rows.where(bucket < b).unionByName(rows.where(bucket == b).orderBy(number, *order).limit(size - taken))
+        taken += n
+    return rows
+
+
+def rate_between(events: DataFrame, group: list[str], t_ms: str, step_ms: int = 1000) -> DataFrame:
+    """Events a second at the last event of each step: their number since the last of the step before, by the time between."""
+    steps = events.groupBy(*group, F.floor(F.col(t_ms) / step_ms).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max(t_ms).alias("last"))
+    took = F.col("last") - F.lag("last").over(Window.partitionBy(*group).orderBy("step"))
+    return steps.withColumn("took_ms", took).withColumn("rate", F.floor(F.col("n") * 1000 / F.col("took_ms"))).where(F.col("took_ms") > 0).drop("last")
+
+
+def throughput_text(n: Column, took_ms: Column) -> Column:
+    """Transactions a second to three places, rounded half up; inf where no time has passed."""
+    thousandths = F.floor((n * 2_000_000 + took_ms) / (took_ms * 2))
+    text = F.concat(F.floor(thousandths / 1000).cast("string"), F.lit("."), F.lpad(F.pmod(thousandths, F.lit(1000)).cast("string"), 3, "0"))
+    return F.when(took_ms == 0, "inf").otherwise(text)
 
 
 def lcg(x, seed: int = 12345) -> Column:

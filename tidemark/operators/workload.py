@@ -34,7 +34,9 @@ def is_hot(index: Column, hot: int, regions: int) -> Column:
 def basic(spark: SparkSession, n: int, keys_per_list: int, partitions: int, regions: int, seed: int = 1, **params) -> DataFrame:
     """txn_id, place, key, is_write, home, part of n transactions with ``records`` different keys each.
 
-    Keys stand at places of a transaction; each place draws its own residue of the list, so no two are equal.
+    Keys stand at places of a transaction; each place draws its own residue of the list, so no two are equal. hot_records
+    of the places, from one that is drawn for each transaction, take keys from the list's hot ones (the first hot / regions,
+    at least one), each its own residue of those; the other places take cold keys.
     """
     unknown = set(params) - set(BASIC)
     if unknown:
@@ -46,8 +48,15 @@ def basic(spark: SparkSession, n: int, keys_per_list: int, partitions: int, regi
     rows = spark.range(n).select(t.alias("txn_id"), homes.alias("homes"), parts.alias("parts"), draw(t, seed + 2, regions).alias("home0"), draw(t, seed + 3, partitions).alias("part0"), F.explode(F.sequence(F.lit(0), F.lit(p["records"] - 1))).alias("place"))
     home = F.pmod(F.col("home0") + F.pmod("place", F.col("homes")), F.lit(regions))
     part = F.pmod(F.col("part0") + F.pmod(F.floor(F.col("place") / F.col("homes")), F.col("parts")), F.lit(partitions))
-    per = max(1, keys_per_list // p["records"])
-    index = draw(F.col("txn_id") * 31 + F.col("place"), seed + 4, per) * p["records"] + F.col("place")
+    n_hot = max(1, p["hot"] // regions) if p["hot"] or p["hot_records"] else 0
+    if p["hot_records"] > min(n_hot, p["records"]) or p["writes"] > p["records"]:
+        raise ValueError("more hot records than hot keys or records, or more writes than records")
+    per = max(1, (keys_per_list - n_hot) // p["records"])
+    index = n_hot + draw(F.col("txn_id") * 31 + F.col("place"), seed + 4, per) * p["records"] + F.col("place")
+    if p["hot_records"]:
+        turn = F.pmod(F.col("place") + draw(F.col("txn_id"), seed + 5, p["records"]), F.lit(p["records"]))
+        hot_index = draw(F.col("txn_id") * 31 + F.col("place"), seed + 6, n_hot // p["hot_records"]) * p["hot_records"] + turn
+        index = F.when(turn < p["hot_records"], hot_index).otherwise(index)
     return rows.select("txn_id", "place", home.cast("long").alias("home"), part.cast("long").alias("part"), index.cast("long").alias("index")).select(
         "txn_id", "place", "home", "part", key_of(F.col("index"), F.col("home"), F.col("part"), partitions, regions).alias("key"), (F.col("place") < p["writes"]).alias("is_write")
     )

@@ -74,7 +74,7 @@ _LCG = "(({0}) % 1048576 * 1103515245 + 12345) % 2147483648"
 @query(f"SELECT o_orderkey FROM orders ORDER BY {_LCG.format('o_orderkey')}, o_orderkey LIMIT 250")
 def sample_seeded(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
-    return S.exact_sample(o, F.struct(S.lcg("o_orderkey"), F.col("o_orderkey")), 250)
+    return S.exact_sample(o, S.lcg("o_orderkey"), ["o_orderkey"], 250)
 
 
 @query("""WITH c AS (SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 256 AS slot FROM events)
@@ -122,9 +122,7 @@ def scheduler_stats(spark, d):
 
 @query(f"WITH {ACCESS_ARITH} SELECT txn_id, array_to_string(list_sort(list(DISTINCT master)), ';') AS regions, array_to_string(list_sort(list(DISTINCT part)), ';') AS partitions, count(*) FILTER (WHERE is_write) AS n_writes FROM acc GROUP BY 1")
 def txn_profiles(spark, d):
-    c = A.classify(access_arith(spark, d))
-    n = access_arith(spark, d).groupBy("txn_id").agg(F.count_if("is_write").alias("n_writes"))
-    return c.join(n, "txn_id").select("txn_id", F.col("involved_regions").alias("regions"), F.col("involved_partitions").alias("partitions"), "n_writes")
+    return A.classify(access_arith(spark, d)).select("txn_id", F.col("involved_regions").alias("regions"), F.col("involved_partitions").alias("partitions"), "n_writes")
 
 
 @query("SELECT user_id, event_id, ts_us FROM (SELECT user_id, event_id, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3")

@@ -93,8 +93,7 @@ w AS (SELECT txn_id, type, home, coord, parts, CASE WHEN type = 'UNKNOWN' THEN '
   FROM typ JOIN p USING (txn_id) JOIN coo USING (txn_id))
 SELECT txn_id, type, home, coord, destination, CASE WHEN destination = 'remote sequencer' THEN parts[CAST(txn_id % len(parts) AS INT) + 1] ELSE -1 END AS to_partition FROM w""")
 def route_destination(spark, d):
-    access = access_geo(spark, d)
-    return A.route(access, A.classify(access), coordinator_region(spark, d))
+    return A.route(A.classify(access_geo(spark, d)), coordinator_region(spark, d))
 
 
 @query(f"WITH {ACCESS_GEO}, {TYPED} SELECT DISTINCT txn_id, master AS home FROM geo WHERE txn_id IN (SELECT txn_id FROM typ WHERE type = 'MULTI_HOME_OR_LOCK_ONLY')")
