@@ -279,3 +279,20 @@ def test_hot_records_come_from_hot_keys_and_are_distinct(spark):
 def test_throughput_is_rounded_and_infinite_without_time(spark):
     rows = spark.createDataFrame([(100, 0), (100, 3), (1, 2000), (2, 3000)], "n long, ms long")
     assert [r[0] for r in rows.select(stats.throughput_text(F.col("n"), F.col("ms"))).collect()] == ["inf", "33333.333", "0.500", "0.667"]
+
+
+def test_levels_settle_across_blocks(spark):
+    """A chain through all blocks beside random waits, against a walk in order; far more levels than rounds are allowed."""
+    rng = random.Random(7)
+    edges = {(i, i + 1) for i in range(3, 300)} | {(b, b + rng.randint(1, 200)) for b in rng.choices(range(900), k=700)}
+    level = {}
+    for b, w in sorted(edges, key=lambda e: e[1]):
+        level[w] = max(level.get(w, 0), level.setdefault(b, 0) + 1)
+    df = spark.createDataFrame(sorted(edges), "blocker long, waiter long")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    for block_edges, at_once in ((100, 4), (350, 2), (5000, 4)):
+        assert {r.node: r.level for r in locks.levels(df, block_edges=block_edges, at_once=at_once).collect()} == level
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - jobs < max(level.values())
+    with pytest.raises(ValueError):
+        locks.levels(df, most=max(level.values()), block_edges=100)
+    assert locks.levels(df, most=max(level.values()) + 1).count() == len(level)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..operators import locks as L
 from ..operators import ordering as O
-from ..sources import shared
 from .catalog import ACCESS_ARITH, access_arith, query, table
 
 
@@ -214,9 +213,8 @@ SELECT node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
 def exec_level(spark, d):
     """Which transactions of a batch can run together: a batch begins when the one before it is done, so that only
     waits within a batch count."""
-    shared.shared_folder(spark, "levels")  # where the rounds' checkpoints go
     rows = requests(spark, d)
-    edges = L.wait_edges(rows).where(F.floor(F.col("blocker") / BATCH) == F.floor(F.col("waiter") / BATCH)).checkpoint()
+    edges = L.wait_edges(rows).where(F.floor(F.col("blocker") / BATCH) == F.floor(F.col("waiter") / BATCH))
     return L.levels(edges, nodes=rows.select(F.col("pos").alias("node")).distinct())
 
 
@@ -224,7 +222,6 @@ def exec_level(spark, d):
 SELECT node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
 def exec_level_log(spark, d):
     """Which transactions of the whole log can run together: each as soon as all that it waits for are done, however
-    far back they stand. No batch barrier, unlike exec_level, so it has as many rounds as the log's longest chain."""
-    shared.shared_folder(spark, "levels")  # where the rounds' checkpoints go
+    far back they stand. No batch barrier, unlike exec_level."""
     rows = requests(spark, d)
-    return L.levels(L.wait_edges(rows).checkpoint(), nodes=rows.select(F.col("pos").alias("node")).distinct())
+    return L.levels(L.wait_edges(rows), nodes=rows.select(F.col("pos").alias("node")).distinct())
