@@ -13,6 +13,7 @@ from tidemark.plans import registry
 from tidemark.sources import datums
 from tidemark.sources import tpcc as tables
 from tidemark.sources.requests import Configuration
+from tidemark.streaming import logs as ST
 
 
 def test_placement_of_the_known_keys(spark):
@@ -296,3 +297,21 @@ def test_levels_settle_across_blocks(spark):
     with pytest.raises(ValueError):
         locks.levels(df, most=max(level.values()), block_edges=100)
     assert locks.levels(df, most=max(level.values()) + 1).count() == len(level)
+
+
+def test_the_first_gap_is_found_across_blocks(spark):
+    gaps = {1: {70}, 2: {64}, 3: set(), 4: {0}, 5: {128, 129}, 6: set(range(64, 128))}
+    rows = spark.createDataFrame([(q, p) for q, lost in gaps.items() for p in range(200) if p not in lost], "q long, position long").withColumn("following", F.lit(0).cast("long"))
+    wanted = {1: 70, 2: 64, 3: 200, 4: 0, 5: 128, 6: 64}
+    assert {r.q: r.end for r in ordering.prefix_ends(rows, ["q"], 64).collect()} == wanted
+    later = rows.where("position >= 130").withColumn("following", F.lit(130).cast("long"))
+    assert {r.end for r in ordering.prefix_ends(later, ["q"], 64).collect()} == {200}
+
+
+def test_resequencing_holds_what_is_early_and_drops_repeats_without_python_groups(spark, tmp_path):
+    waves = [[(1, 1, "b"), (1, 3, "d"), (2, 0, "x"), (2, 0, "x")], [(1, 0, "a"), (2, 0, "late"), (1, 5, "f")], [(1, 2, "c"), (1, 3, "again"), (2, 1, "y")]]
+    rows = spark.createDataFrame([(*r, w) for w, wave in enumerate(waves) for r in wave], "queue long, position long, value string, wave int")
+    stream, arrive = ST.staged(spark, rows, str(tmp_path / "in"), "wave")
+    found = ST.run(stream, str(tmp_path / "out"), 3, [arrive], ST.resequence)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "x"), (2, 1, "y")]
+    assert sorted(r.position for r in spark.read.parquet(str(tmp_path / "out/out/batch=0")).collect()) == [0]

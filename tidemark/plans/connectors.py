@@ -122,8 +122,11 @@ def tpcc_tables(spark, d):
     return out
 
 
-def _staged(spark, d, rows, name, wave, waves=3):
-    return ST.staged(spark, rows.withColumn("wave", wave), shared.shared_folder(spark, name), "wave", waves)
+WAVES = 3
+
+
+def _staged(spark, d, rows, name, wave):
+    return ST.staged(spark, rows.withColumn("wave", wave.cast("int")), shared.shared_folder(spark, name), "wave")
 
 
 @query(f"WITH {_SLOTS}, k AS (SELECT queue, position, slot, row_number() OVER (PARTITION BY queue ORDER BY position) - 1 AS r FROM l WHERE batch_id IS NOT NULL) SELECT queue, CAST(position AS BIGINT) AS position, CAST(slot AS VARCHAR) AS value FROM k WHERE r = position")
@@ -131,16 +134,17 @@ def stream_resequence(spark, d):
     """Batches that arrive out of order, in three waves, leave in the order of their positions."""
     _, positions = _slots(spark, d)
     rows = positions.select("queue", F.col("position").cast("long").alias("position"), F.col("batch_id").cast("string").alias("value"))
-    return ST.run(ST.resequence(_staged(spark, d, rows, "positions", F.pmod(F.col("position") * 7, F.lit(3)))), shared.shared_folder(spark, "resequenced"))
+    stream, arrive = _staged(spark, d, rows, "positions", F.pmod(F.col("position") * 7, F.lit(WAVES)))
+    return ST.run(stream, shared.shared_folder(spark, "resequenced"), WAVES, [arrive], ST.resequence)
 
 
 @query("SELECT o_orderkey AS batch_id, o_custkey % 4 AS queue, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
 def stream_batchlog(spark, d):
     """Slots and data as two streams; the data of some batches comes waves after their slots."""
     o = table(spark, d, "orders")
-    slots = _staged(spark, d, o.select(F.col("o_orderkey").alias("batch_id"), F.pmod("o_custkey", F.lit(4)).alias("queue")), "slots", F.pmod("batch_id", F.lit(3)))
-    data = _staged(spark, d, o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("batch_id"), "o_orderstatus"), "data", F.pmod(F.col("batch_id") + 1, F.lit(3)))
-    return ST.run(ST.order_with_data(slots, data), shared.shared_folder(spark, "batchlog"))
+    slots, come = _staged(spark, d, o.select(F.col("o_orderkey").alias("batch_id"), F.pmod("o_custkey", F.lit(4)).alias("queue")), "slots", F.pmod("batch_id", F.lit(WAVES)))
+    data, follow = _staged(spark, d, o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("batch_id"), "o_orderstatus"), "data", F.pmod(F.col("batch_id") + 1, F.lit(WAVES)))
+    return ST.run(ST.order_with_data(slots, data), shared.shared_folder(spark, "batchlog"), WAVES, [come, follow])
 
 
 @query(f"{_BATCHED} SELECT machine, id, t, batch_start, CAST(place // {MOST} AS BIGINT) AS sub_batch, CAST(place % {MOST} AS BIGINT) AS place FROM b")
@@ -148,14 +152,15 @@ def stream_batch_timer(spark, d):
     e = _events(spark, d)
     third = e.agg(F.percentile("t", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0]
     wave = F.when(F.col("t") < third[0], 0).when(F.col("t") < third[1], 1).otherwise(2)
-    return ST.run(ST.anchored_batches(_staged(spark, d, e, "timed", wave), DURATION, MOST), shared.shared_folder(spark, "batches"))
+    stream, arrive = _staged(spark, d, e, "timed", wave)
+    return ST.run(ST.anchored_batches(stream, DURATION, MOST), shared.shared_folder(spark, "batches"), WAVES, [arrive])
 
 
 @query("SELECT DISTINCT o_custkey FROM orders")
 def stream_dedupe(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.pmod("o_orderkey", F.lit(3)).alias("w"))
-    s = ST.staged(spark, o.withColumnRenamed("w", "wave"), shared.shared_folder(spark, "replies"), "wave", 3)
-    return ST.run(ST.once(s, "o_custkey", "at", "10000 days").select("o_custkey"), shared.shared_folder(spark, "once"))
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderkey")
+    s, arrive = _staged(spark, d, o, "replies", F.pmod("o_orderkey", F.lit(WAVES)))
+    return ST.run(ST.once(s, "o_custkey", "at", "10000 days").select("o_custkey"), shared.shared_folder(spark, "once"), WAVES, [arrive])
 
 
 @query(f"""WITH {PROC}, w AS (SELECT acc.txn_id, key, CASE WHEN key % 5 = 0 THEN 'v' || acc.txn_id WHEN key % 5 = 1 THEN NULL ELSE '' END AS value, key % 5 = 1 AS deleted

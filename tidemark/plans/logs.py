@@ -40,13 +40,13 @@ def sequencer_delay(spark, d):
 @query("SELECT o_orderkey, o_custkey % 4 AS machine, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderdate, o_orderkey) - 1 AS home_position FROM orders")
 def home_position(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.pmod("o_custkey", F.lit(4)).alias("machine"))
-    return O.home_position(o, "machine", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "machine", F.col("home_position").cast("long").alias("home_position"))
+    return O.home_position(o, "machine", ["o_orderdate", "o_orderkey"], F.col("o_orderdate")).select("o_orderkey", "machine", F.col("home_position").cast("long").alias("home_position"))
 
 
 def _slots(spark, d):
     """Slot i names the queue of order i; queues have their batches in order of order key, one in fifty not yet there."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("slot"), F.pmod("o_custkey", F.lit(4)).alias("queue"))
-    positions = O.home_position(o.withColumnRenamed("slot", "batch_id"), "queue", ["batch_id"]).withColumnRenamed("home_position", "position")
+    positions = O.home_position(o.withColumnRenamed("slot", "batch_id"), "queue", ["batch_id"], O.by_key("batch_id")).withColumnRenamed("home_position", "position")
     return o, positions.where(F.pmod("batch_id", F.lit(5000)) != 4321)
 
 
@@ -87,7 +87,7 @@ def replication_ack_set(spark, d):
 def interleave_global(spark, d):
     """Slots of each region's log; (slot, home) is the global order that interleaves them."""
     o = table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(3)).alias("home"), "o_orderkey", "o_orderdate")
-    logs = O.home_position(o, "home", ["o_orderdate", "o_orderkey"]).withColumnRenamed("home_position", "slot")
+    logs = O.home_position(o, "home", ["o_orderdate", "o_orderkey"], F.col("o_orderdate")).withColumnRenamed("home_position", "slot")
     return O.global_order(logs).select("home", "o_orderkey", F.col("order_key.slot").cast("long").alias("slot"))
 
 
