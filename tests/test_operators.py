@@ -337,3 +337,13 @@ def test_batches_without_a_gap_are_no_one_group(spark):
     wanted = sorted((m, *r) for m, ts in machines.items() for r in in_turn(ts, 100, 7))
     assert len(ordering._steps(pd.DataFrame({"machine": 0, "segment": 0, "t": sorted(set(machines[0]))}), 100)) < 100
     assert sorted(tuple(r) for r in ordering.anchored_batches(rows, 100, 7).collect()) == wanted
+
+
+def test_a_stream_goes_on_with_the_open_batch(spark, tmp_path):
+    rng = random.Random(5)
+    machines = {0: sorted(rng.randrange(0, 6000) for _ in range(300)), 1: sorted(rng.randrange(0, 60_000) for _ in range(80)), 2: [10] * 20 + [1990] * 20 + [2010] * 20}
+    cuts = lambda t: 0 if t < 2000 else 1 if t < 2050 else 2  # noqa: E731  (the second wave lies within a segment, and mostly within open batches)
+    rows = spark.createDataFrame([(m, i, t, cuts(t)) for m, ts in machines.items() for i, t in enumerate(ts)], "machine long, id long, t long, wave int")
+    stream, arrive = ST.staged(spark, rows, str(tmp_path / "in"), "wave")
+    found = ST.run(stream, str(tmp_path / "out"), 3, [arrive], lambda s, f: ST.anchored_batches(s, f, 100, 7))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((m, *r) for m, ts in machines.items() for r in in_turn(ts, 100, 7))

@@ -1,5 +1,7 @@
 """Queries of sources, sinks, streams, and of the whole way of a transaction."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import placement as P
@@ -150,10 +152,10 @@ def stream_batchlog(spark, d):
 @query(f"{_BATCHED} SELECT machine, id, t, batch_start, CAST(place // {MOST} AS BIGINT) AS sub_batch, CAST(place % {MOST} AS BIGINT) AS place FROM b")
 def stream_batch_timer(spark, d):
     e = _events(spark, d)
-    third = e.agg(F.percentile("t", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0]
+    third = e.agg(F.percentile_approx("t", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or (0, 0)
     wave = F.when(F.col("t") < third[0], 0).when(F.col("t") < third[1], 1).otherwise(2)
     stream, arrive = _staged(spark, d, e, "timed", wave)
-    return ST.run(ST.anchored_batches(stream, DURATION, MOST), shared.shared_folder(spark, "batches"), WAVES, [arrive])
+    return ST.run(stream, shared.shared_folder(spark, "batches"), WAVES, [arrive], partial(ST.anchored_batches, duration_us=DURATION, most=MOST))
 
 
 @query("SELECT DISTINCT o_custkey FROM orders")
