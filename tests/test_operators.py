@@ -16,6 +16,8 @@ from tidemark.sources import tpcc as tables
 from tidemark.sources.requests import Configuration
 from tidemark.streaming import logs as ST
 
+from .conftest import SMALL
+
 
 def test_placement_of_the_known_keys(spark):
     keys = spark.createDataFrame([(k,) for k in "ABCDEFXYZ"], "key string")
@@ -347,3 +349,28 @@ def test_a_stream_goes_on_with_the_open_batch(spark, tmp_path):
     stream, arrive = ST.staged(spark, rows, str(tmp_path / "in"), "wave")
     found = ST.run(stream, str(tmp_path / "out"), 3, [arrive], lambda s, f: ST.anchored_batches(s, f, 100, 7))
     assert sorted(tuple(r) for r in found.collect()) == sorted((m, *r) for m, ts in machines.items() for r in in_turn(ts, 100, 7))
+
+
+def test_sub_transactions_are_those_of_the_projection(spark):
+    rng = random.Random(2)
+    rows = access(spark, [(t, str(k), rng.randrange(3), rng.choice([0, 1, 2] + [None] * (t % 7 == 0)), rng.random() < 0.5) for t in range(40) for k in range(rng.randint(1, 6))])
+    wanted = A.project(rows, A.lock_only(rows, A.classify(rows)))
+    found = A.sub_transactions(rows)
+    assert found.dtypes == wanted.dtypes and wanted.count() > 0
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_surplus_counts_repeats(spark):
+    one, two = (spark.createDataFrame(r, "a long, b string") for r in ([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "z")], [(1, "x"), (2, None), (4, "w")]))
+    assert A.surplus(one, two).first().n_differing == one.exceptAll(two).count() == 3
+    assert A.surplus(one, one).first().n_differing == 0
+
+
+@pytest.mark.parametrize("name", ["txn_equality"])
+def test_tasks_grow_in_number_with_the_table(spark, monkeypatch, name):
+    from tidemark.plans import catalog
+
+    monkeypatch.setattr(catalog, "TASK_ROWS", 300)
+    parts = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 300)
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert f", {parts})" in plan and ", 4), ENSURE" not in plan.replace("hashpartitioning(key", "")

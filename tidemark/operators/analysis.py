@@ -74,6 +74,27 @@ def project(access: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.groupBy("txn_id", "home", "part").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("master") == F.col("home")).alias("n_own")).withColumn("redundant", F.col("n_own") == 0)
 
 
+def sub_transactions(access: DataFrame) -> DataFrame:
+    """``project`` for all lock-only parts of all multi-home transactions, without joins: a transaction's keys are counted by
+    partition and home, so what is brought together is a row for each of those, however many keys it has."""
+    cells = access.where(F.col("txn_id").isNotNull()).groupBy("txn_id", "part", "master").agg(F.count(F.lit(1)).alias("n"))
+    txns = cells.groupBy("txn_id").agg(F.collect_list(F.struct("part", "master", "n")).alias("cells"), F.count_if(F.col("master").isNull()).alias("unplaced"), F.min("master").alias("low"), F.max("master").alias("high"))
+    multi = txns.where((F.col("unplaced") == 0) & (F.col("low") != F.col("high")))
+    homes = multi.select("txn_id", "cells", F.explode(F.array_distinct("cells.master")).alias("home"))
+    subs = homes.select("txn_id", "home", "cells", F.explode(F.array_distinct("cells.part")).alias("part"))
+    keys = lambda of: F.aggregate(F.filter("cells", of), F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    here = lambda c: c["part"].eqNullSafe(F.col("part"))
+    rows = subs.select("txn_id", "home", "part", keys(here).alias("n_keys"), keys(lambda c: here(c) & (c["master"] == F.col("home"))).alias("n_own"))
+    return rows.withColumn("redundant", F.col("n_own") == 0)
+
+
+def surplus(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row, n_differing: rows of the first table that the second lacks, counting repeats, by one aggregation of both."""
+    signed = first.select("*", F.lit(1).alias("sign")).unionByName(second.select("*", F.lit(-1).alias("sign")))
+    left = signed.groupBy(*first.columns).agg(F.sum("sign").alias("left")).where("left > 0")
+    return left.agg(F.coalesce(F.sum("left"), F.lit(0).cast("long")).alias("n_differing"))
+
+
 def without_keys(txns: DataFrame, access: DataFrame) -> DataFrame:
     """Transactions that access no key are aborted."""
     return txns.join(access.select("txn_id"), "txn_id", "left_anti").select("txn_id", F.lit("ABORTED").alias("status"), F.lit("Txn accesses no key").alias("abort_reason"))

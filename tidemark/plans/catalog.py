@@ -31,9 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_ROWS = 250_000
+
+
+def tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Into how many parts a table's rows are dealt, so that a task's share, and its memory, stays as the table grows."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // TASK_ROWS))
+
+
+def lines(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Lines of orders, those of an order and key together."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", key, "l_returnflag").repartition(tasks(spark, sf_dir, "lineitem"), "l_orderkey", key)
+
+
 def access_arith(spark, d) -> DataFrame:
     """txn_id, key, part, master, is_write: one row a transaction and key."""
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("txn_id"), F.col("l_partkey").alias("key")).agg(F.max(F.col("l_returnflag") == "R").alias("is_write"))
+    rows = lines(spark, d, "l_partkey").groupBy(F.col("l_orderkey").alias("txn_id"), F.col("l_partkey").alias("key")).agg(F.max(F.col("l_returnflag") == "R").alias("is_write"))
     return rows.select("txn_id", "key", P.simple_partition("key", PARTITIONS).alias("part"), P.simple_home("key", PARTITIONS, REGIONS).alias("master"), "is_write")
 
 
@@ -49,7 +62,7 @@ def supplier_region(spark, d) -> DataFrame:
 
 def access_geo(spark, d) -> DataFrame:
     """txn_id, key, part, master, is_write, with masters from the data."""
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("txn_id"), F.col("l_suppkey").alias("key")).agg(F.max(F.col("l_returnflag") == "R").alias("is_write"))
+    rows = lines(spark, d, "l_suppkey").groupBy(F.col("l_orderkey").alias("txn_id"), F.col("l_suppkey").alias("key")).agg(F.max(F.col("l_returnflag") == "R").alias("is_write"))
     return rows.join(supplier_region(spark, d), "key", "left").select("txn_id", "key", P.simple_partition("key", PARTITIONS).alias("part"), "master", "is_write")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import placement as P
 from ..operators import analysis as A
-from .catalog import ACCESS_ARITH, ACCESS_GEO, COORD, access_arith, access_geo, coordinator_region, query, supplier_region, table
+from .catalog import ACCESS_ARITH, ACCESS_GEO, COORD, access_arith, access_geo, coordinator_region, query, supplier_region, table, tasks
 
 TYPED = """typ AS (
   SELECT txn_id, CASE WHEN count(*) > count(master) THEN 'UNKNOWN' WHEN min(master) = max(master) THEN 'SINGLE_HOME' ELSE 'MULTI_HOME_OR_LOCK_ONLY' END AS type,
@@ -166,6 +166,5 @@ def reply_dedupe(spark, d):
 @query(f"WITH {ACCESS_ARITH} SELECT count(*) AS n_differing FROM (SELECT txn_id, key, is_write FROM acc EXCEPT ALL SELECT txn_id, key, is_write FROM acc)")
 def txn_equality(spark, d):
     """Two encodings of one transaction log have the same rows, counting repeats."""
-    rows = access_arith(spark, d).select("txn_id", "key", "is_write")
-    again = access_arith(spark, d).orderBy("key").select("txn_id", "key", "is_write")
-    return rows.exceptAll(again).agg(F.count(F.lit(1)).alias("n_differing"))
+    dealt = lambda: access_arith(spark, d).select("txn_id", "key", "is_write").repartition(tasks(spark, d, "lineitem"), "txn_id", "key")
+    return A.surplus(dealt(), dealt())
