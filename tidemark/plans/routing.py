@@ -106,10 +106,13 @@ _PROJECT = f"""WITH {ACCESS_GEO}, {TYPED}, lo AS (SELECT DISTINCT txn_id, master
 s AS (SELECT lo.txn_id, lo.home, part, count(*) AS n_keys, count(*) FILTER (WHERE master = home) AS n_own FROM lo JOIN geo USING (txn_id) GROUP BY ALL)"""
 
 
+def _by_txn(spark, d):
+    return access_geo(spark, d).repartition(tasks(spark, d, "lineitem"), "txn_id")
+
+
 @query(f"{_PROJECT} SELECT txn_id, home, part, n_keys, n_own FROM s WHERE n_own > 0")
 def partition_projection(spark, d):
-    access = access_geo(spark, d)
-    return A.project(access, A.lock_only(access, A.classify(access))).where(~F.col("redundant")).drop("redundant")
+    return A.sub_transactions(_by_txn(spark, d)).where(~F.col("redundant")).drop("redundant")
 
 
 @query(f"{_PROJECT} SELECT txn_id, home, part, n_keys FROM s WHERE n_own = 0")
