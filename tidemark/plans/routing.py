@@ -117,8 +117,7 @@ def partition_projection(spark, d):
 
 @query(f"{_PROJECT} SELECT txn_id, home, part, n_keys FROM s WHERE n_own = 0")
 def redundant_subtxn(spark, d):
-    access = access_geo(spark, d)
-    return A.project(access, A.lock_only(access, A.classify(access))).where("redundant").select("txn_id", "home", "part", "n_keys")
+    return A.sub_transactions(_by_txn(spark, d)).where("redundant").select("txn_id", "home", "part", "n_keys")
 
 
 @query("SELECT o_orderkey AS txn_id, 'ABORTED' AS status, 'Txn accesses no key' AS abort_reason FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
