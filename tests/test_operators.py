@@ -366,7 +366,7 @@ def test_surplus_counts_repeats(spark):
     assert A.surplus(one, one).first().n_differing == 0
 
 
-@pytest.mark.parametrize("name", ["txn_equality", "partition_projection", "redundant_subtxn"])
+@pytest.mark.parametrize("name", ["txn_equality", "partition_projection", "redundant_subtxn", "merge_events"])
 def test_tasks_grow_in_number_with_the_table(spark, monkeypatch, name):
     from tidemark.plans import catalog
 

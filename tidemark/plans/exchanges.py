@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import exchange as E
 from ..operators import locks as L
 from ..operators import ordering as O
-from .catalog import ACCESS_ARITH, access_arith, query, table
+from .catalog import ACCESS_ARITH, access_arith, query, table, tasks
 from .logs import _BATCHED, DURATION, EDGES, _events, requests
 
 _PARTS = f"""{ACCESS_ARITH}, pt AS (SELECT txn_id, part, count(*) FILTER (WHERE NOT is_write) AS n_reads, bool_or(is_write) AS active, bool_or(NOT is_write AND key % 23 = 0) AS aborts FROM acc GROUP BY ALL)"""
@@ -48,7 +48,8 @@ c AS (SELECT e.txn_id, min(e.idx) AS cut FROM e JOIN m USING (txn_id) JOIN e f O
 SELECT e.txn_id, e.home, e.idx, e.event, e.time, e.machine FROM e JOIN m USING (txn_id) LEFT JOIN c USING (txn_id) WHERE e.home = mh OR e.idx >= coalesce(cut, CASE WHEN txn_id % 7 = 0 THEN 2 ELSE 3 END)""")
 def merge_events(spark, d):
     """Lock-only parts share their first events; some differ in the second."""
-    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn_id"), F.pmod("l_suppkey", F.lit(3)).alias("home")).distinct()
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn_id"), F.pmod("l_suppkey", F.lit(3)).alias("home"))
+    p = p.repartition(tasks(spark, d, "lineitem"), "txn_id").distinct()
     t, home = F.col("txn_id"), F.col("home")
     step = lambda i, name, time, machine: F.struct(F.lit(i).alias("idx"), F.lit(name).alias("event"), time.alias("time"), machine.alias("machine"))
     second = t * 100 + F.when((F.pmod(t, F.lit(5)) == 0) & (home == 2), 2).otherwise(1)
