@@ -388,6 +388,16 @@ def test_gibberish_is_less_likely_than_prose(spark):
     assert held.pop(new) < np.percentile(list(held.values()), 1)
 
 
+def test_katz_ranks_words_by_one_number_and_more(spark, monkeypatch):
+    monkeypatch.setattr(katz, "OFTEN", 4)  # counts from four on are ranked as the very frequent are
+    monkeypatch.setattr(katz, "HELD_WORDS", 10)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    found = katz_rows(tuple(r) for r in katz.language_model(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for a, b in zip(found, katz_rows(brute_katz(rows)), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-6)
+
+
 def test_katz_splits_texts_as_bytes_do():
     every = "".join(map(chr, range(1, 0x250)))
     for kind in (pa.string(), pa.large_string()):

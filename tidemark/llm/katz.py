@@ -62,6 +62,8 @@ BLOCK_TOKENS, BLOCK_DOCS, PIECE, PIECE_DOCS = 600_000, 60_000, 1 << 17, 5_000
 PASSES = 2
 #: Histories and n-grams that are spread or scored where they stand, at most.
 MOST_SPREAD = 1_000_000
+#: Counts below this are ranked by one number; words of the vocabulary that a task of a join holds, at most about.
+OFTEN, HELD_WORDS = 1 << 20, 500_000
 EDGE = 256  # the byte before the first and after the last one of a word
 LOW = np.uint64(2**32 - 1)
 SHIFT = np.uint64(32)
@@ -319,11 +321,14 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> None:
-    """word, c, id of every training word; ids are ranks by count, of equal ones by word: places in parts of the range,
-    and what the parts before have."""
+    """word, c, id of every training word; ids are ranks by count, of equal ones by a hash: places in parts of the range,
+    and what the parts before have. One number tells nearly all words apart, so that few are compared themselves: the
+    count, highest first, and the hash; counts from ``OFTEN`` on follow it."""
     entries = spark.read.parquet(f"{folder}/blocks").select(F.explode(F.arrays_zip("words", "n")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.n").alias("n"))
-    counts = entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
-    ranked = counts.repartitionByRange(F.desc("c"), "word").sortWithinPartitions(F.desc("c"), "word")
+    counts = entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+    few = F.shiftleft(F.lit(OFTEN) - F.col("c"), 42).bitwiseOR(F.xxhash64("word").bitwiseAND(F.lit((1 << 42) - 1)))
+    by = ["key", F.desc("c"), "word"]
+    ranked = counts.withColumn("key", F.when(F.col("c") < OFTEN, few).otherwise(F.lit(0).cast("long"))).repartitionByRange(*by).sortWithinPartitions(*by)
     ranked.select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")).write.parquet(f"{folder}/ranked")
     placed = spark.read.parquet(f"{folder}/ranked")
     sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # a row a partition
@@ -541,22 +546,34 @@ class Grams:
     def __init__(self, table: pa.Table, model: Model, order: int):
         self.model, self.order = model, order
         self.history, self.below, self.alpha, self.key, self.n = _none(), np.zeros(0), np.zeros(0), _none(), np.zeros(0, np.int64)
-        for self.history, run, word, self.n, self.below, self.alpha in _bodies(table):
-            self.key = (np.repeat(np.arange(len(self.history), dtype=np.uint64), run) << SHIFT) | word
+        for self.history, self.run, word, self.n, self.below, self.alpha in _bodies(table):
+            self.key = (np.repeat(np.arange(len(self.history), dtype=np.uint64), self.run) << SHIFT) | word
+            self.begin = np.cumsum(self.run, dtype=np.int64) - self.run
         at, some = _among(model.spread[order].history, self.history)
         self.below[some], self.alpha[some] = model.spread[order].below[at[some]], model.spread[order].alpha[at[some]]
 
+    def find(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of histories and whether they are known; places of n-grams and whether they are seen."""
+        at, known = _among(self.history, history)
+        if not len(self.key):
+            return at, known, at, known
+        wanted = (at.astype(np.uint64) << SHIFT) | word
+        place = self.begin[at]
+        seen = known & (self.key[place] == wanted)
+        # most histories have one word, which needs no search
+        more = np.nonzero(known & ~seen & (self.run[at] > 1))[0]
+        place[more], seen[more] = _among(self.key, wanted[more])
+        return at, known, place, seen
+
     def signed(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Counts of n-grams that are there, negative if one is added to their history's count."""
-        at, _ = _among(self.history, history)
-        n = self.n[_among(self.key, (at.astype(np.uint64) << SHIFT) | word)[0]]
+        at, _, place, _ = self.find(history, word)
+        n = self.n[place]
         return np.where(self.below[at] > self.model.history_counts(history), -n, n)
 
     def values(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of n-grams seen, of others log10 of the backoff weight (0 after an unseen history); and which are seen."""
-        at, known = _among(self.history, history)
-        place, seen = _among(self.key, (at.astype(np.uint64) << SHIFT) | word)
-        seen &= known
+        at, known, place, seen = self.find(history, word)
         spread = self.model.spread[self.order]
         where, some = _among(spread.history, history)
         out = np.where(known, self.alpha[at], 0.0) if len(self.alpha) else np.zeros(len(history))
@@ -666,7 +683,9 @@ def train(rows: DataFrame, folder: str) -> Model:
         model.unseen = (freed or 1.0) / model.below
         model.spelling = spelling(words)
         model.end = words.where(F.col("word") == F.lit(END)).first()["id"]
-    asked = spark.read.parquet(f"{folder}/blocks").select("block", F.posexplode("words").alias("pos", "word")).join(words.select("word", "id"), "word", "left")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.vocabulary // HELD_WORDS))
+    held = words.select("word", "id").repartition(parts, "word").hint("shuffle_hash")  # each word once, so parts are even
+    asked = spark.read.parquet(f"{folder}/blocks").select("block", F.posexplode("words").alias("pos", "word")).repartition(parts, "word").join(held, "word", "left")
     asked.select("block", "pos", "id", F.when(F.col("id").isNull(), F.col("word")).alias("unseen")).write.option("compression", "zstd").parquet(f"{folder}/asked")
     asked = spark.read.parquet(f"{folder}/asked")
     kept = spark.read.parquet(f"{folder}/blocks").select("block", "ids", "body")
